@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, unstage
@@ -140,16 +140,38 @@ def link_fingerprints(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.groupBy("cell", "i", "j").applyInPandas(lambda pdf: _links(pdf, radius), "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, fp, component (smallest id reachable by links) per row of df."""
-    prints = stage(fingerprints(df, id_col, text), "fingerprints")
+def keep_one(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """df with one row of each component: its smallest id (null last), then the smallest MD5 of the text. Columns stay."""
+    digest = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    ids = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("t"), F.struct(F.col(f"`{id_col}`").alias("i"), digest.alias("d")).alias("key"))
+    prints = stage(fingerprints(ids, "key", "t"), "fingerprints")
+    where = _components(prints.select(F.col("id.i").alias("id"), "fp"))
+    best = F.min(F.struct(F.col("id.i").isNull().alias("last"), "id.i", "id.d"))
+    firsts = prints.join(where, F.col("fp") == F.col("rfp")).groupBy("component").agg(best.alias("k"))
+    firsts = stage(firsts.select(F.col("k.i").alias("_aw_i"), F.col("k.d").alias("_aw_d")), "kept")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_aw_row"), F.col(f"`{id_col}`").alias("_aw_id"), digest.alias("_aw_digest"))
+    kept = rows.join(firsts, F.col("_aw_id").eqNullSafe(F.col("_aw_i")) & (F.col("_aw_digest") == F.col("_aw_d")), "left_semi")
+    again = prints.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if again:  # whole rows that repeat: one of each
+        kept = kept.withColumn("_aw_n", F.row_number().over(Window.partitionBy("_aw_id", "_aw_digest").orderBy(F.xxhash64("_aw_row")))).where("_aw_n = 1")
+    return kept.select("_aw_row.*")
+
+
+def _components(prints: DataFrame) -> DataFrame:
+    """Of prints (id, fp): rfp (a fingerprint), component: the smallest id or NO_ID and more."""
     node = F.coalesce(F.min("id").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned("fp", 3))
     reps = stage(prints.groupBy("fp").agg(node.alias("node")), "reps")
     edges = stage(link_fingerprints(reps), "links")
     parts = connected_components(edges, "a", "b")
     unstage(edges)
     where = reps.join(parts.withColumnRenamed("node", "pn"), F.col("node") == F.col("pn"), "left")
-    where = where.select(F.col("fp").alias("rfp"), F.coalesce("component", "node").alias("component"))
+    return where.select(F.col("fp").alias("rfp"), F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id, fp, component (smallest id reachable by links) per row of df."""
+    prints = stage(fingerprints(df, id_col, text), "fingerprints")
+    where = _components(prints)
     return prints.join(where, F.col("fp") == F.col("rfp")).select("id", "fp", F.when(F.col("component") < NO_ID, F.col("component")).alias("component"))
 
 
