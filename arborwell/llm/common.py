@@ -83,7 +83,12 @@ def scan(values: Column, zero: Column, step) -> Column:
     return F.flatten(outer["a"])
 
 
-def running_offset(df: DataFrame, group: list[str], order: list[str], weight: Column, out: str, rows_per_bucket: int = 4096) -> DataFrame:
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A staged df, marked for broadcast if it has at most so many rows; else a plain join shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def running_offset(df: DataFrame, group: list[str], order: list[str], weight: Column, out: str, rows_per_bucket: int = 1024) -> DataFrame:
     """Add the sum of weight over all earlier rows of the same group, in the order of the columns order.
 
     order[0] must be an evenly spread long (a hash). A group is cut into buckets by ranges of that hash, about
@@ -94,17 +99,17 @@ def running_offset(df: DataFrame, group: list[str], order: list[str], weight: Co
     key = F.struct(*[F.col(c) for c in group])
     w = weight.cast("long")
     counts = df.groupBy(key.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select("_g", F.greatest(F.ceil(F.col("_n") / rows_per_bucket), F.lit(1)).alias("_nb"))
+    counts = small(stage(counts.select(F.col("_g").alias("_cg"), F.greatest(F.ceil(F.col("_n") / rows_per_bucket), F.lit(1)).alias("_nb")), "counts"))
     bucket = F.floor((F.shiftrightunsigned(F.col(order[0]), 1) / F.lit(float(2**63))) * F.col("_nb"))
     rows = (
         df.withColumns({"_g": key, "_w": w})
-        .join(counts.withColumnRenamed("_g", "_cg"), F.col("_g").eqNullSafe(F.col("_cg")))
+        .join(counts, F.col("_g").eqNullSafe(F.col("_cg")))
         .withColumn("_b", F.least(bucket, F.col("_nb") - 1).cast("long"))
         .drop("_cg", "_nb")
     )
     sums = rows.groupBy("_g", "_b").agg(F.sum("_w").alias("_s"))
     before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("_g").alias("_cg"), F.col("_b").alias("_cb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    sums = small(stage(sums.select(F.col("_g").alias("_cg"), F.col("_b").alias("_cb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base")), "bases"))
     inside = Window.partitionBy("_g", "_b").orderBy(*[F.shiftrightunsigned(F.col(order[0]), 1), *order]).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
     return (

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_offset, stage
+from .common import running_offset, small, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by the place of a source in code point order, repeating; slopes likewise.
@@ -72,7 +72,7 @@ def plan(df: DataFrame, id_col: str, text: str, source: str, keep: list[str] = (
     rows = stage(rows, "sizes")
     targets = stage(source_targets(rows.select("source", "size")), "targets")
     placed = running_offset(rows, ["source"], ["h", "id", "size"], F.col("size"), "offset")
-    placed = placed.join(targets.withColumnRenamed("source", "ts"), F.col("source").eqNullSafe(F.col("ts"))).drop("ts")
+    placed = placed.join(small(targets.withColumnRenamed("source", "ts")), F.col("source").eqNullSafe(F.col("ts"))).drop("ts")
 
     def take(e: Column) -> Column:
         start = e * F.col("source_size") + F.col("offset")
