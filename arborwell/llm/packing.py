@@ -8,8 +8,8 @@ fit decreasing on the histogram. Pieces are ranked within their length by hash,
 patterns. The histogram and the patterns are bounded by SEQUENCE / UNIT, so the driver's part does not grow with
 the input; pieces are never collected.
 
-Tokenising is by whole text. Texts of ordinary Latin letters are cut into the parts that the tokenizer never joins, and
-each distinct part is encoded once per Python worker; any other text is encoded as it stands.
+Tokenising is by whole text. Texts of ordinary Latin letters are cut at white space and into the parts that the
+tokenizer never joins; each distinct part is encoded once per Python worker. Any other text is encoded as it stands.
 
 Null text counts as empty: one piece with the end id. Null ids pass through; repeated rows are documents of their own.
 Extra columns are ignored; an empty table gives no rows.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import running_offset, stage
 
 SEQUENCE, UNIT, END_ID, TOKENIZER = 4096, 16, 2, "word_bpe_49k.json"
-GAP, ROUNDS, CACHE_WORDS = 5e-4, 4_000, 1_000_000
+GAP, ROUNDS, CACHE_WORDS = 5e-4, 4_000, 1_200_000
 #: Characters whose texts may be encoded by parts: no normalisation or case rule looks past one character here.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
 #: The tokenizer's own parts of a lower-cased text, for those characters.
@@ -57,21 +57,37 @@ def encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     cache = _worker_cache()
     if path not in cache:
-        cache[path] = (Tokenizer.from_file(path if os.path.exists(path) else public_tokenizers.path(path)), {})
-    tok, words = cache[path]
+        tok = Tokenizer.from_file(path if os.path.exists(path) else public_tokenizers.path(path))
+        last = np.zeros(max(tok.get_vocab().values()) + 1, dtype=bool)  # ids that end a part
+        last[[i for w, i in tok.get_vocab().items() if w.endswith("</w>")]] = True
+        cache[path] = (tok, last, {}, {})
+    tok, last, parts, words = cache[path]
 
     def ids(encodings) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in encodings]
 
+    def learn(new: list[str]) -> None:
+        """Ids of parts, many in one call: white space keeps them apart, and the last id of each ends a part."""
+        flat = np.array(tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(last[flat]) + 1
+        if len(ends) == len(new) and ends[-1] == len(flat):
+            raw, at = flat.tobytes(), (4 * ends).tolist()
+            parts.update(zip(new, (raw[lo:hi] for lo, hi in zip([0, *at], at, strict=False)), strict=True))
+        else:
+            parts.update(zip(new, ids(tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+
     def encode(texts: list[str]) -> list[bytes]:
-        split = [_PRETOKEN.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        split = [t.split() if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
         new = {w for s in split if s for w in set(s) if w not in words}
-        if len(words) + len(new) > CACHE_WORDS:
-            words.clear()
+        if len(words) + len(new) > CACHE_WORDS or len(parts) > CACHE_WORDS:
+            words.clear(), parts.clear()
             new = {w for s in split if s for w in s}
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            words.update(zip(new[at : at + 20_000], ids(tok.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False)), strict=True))
+        cut = {w: _PRETOKEN.findall(w.lower()) for w in new}
+        unknown = list({p for ps in cut.values() for p in ps if p not in parts})
+        for at in range(0, len(unknown), 20_000):
+            learn(unknown[at : at + 20_000])
+        part = parts.__getitem__
+        words.update((w, b"".join(map(part, ps))) for w, ps in cut.items())
         get = words.__getitem__
         return [ids([tok.encode(t, add_special_tokens=False)])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
