@@ -8,7 +8,8 @@ exact inner products in double precision. How many partitions a query probes is
 RECALL_AIM on sample queries the network has not seen, measured against brute force.
 
 A partition's rows are cut into blocks and its queries into chunks, so a group holds at most BLOCK rows and CHUNK queries
-on average, whatever one partition attracts; a block returns the best k of each query, so nothing is capped. The number of partitions
+on average, whatever one partition attracts; a block finds the best k of each query, so nothing is capped. A task combines
+what its blocks found for a query, so what is shuffled grows with tasks, not with blocks. The number of partitions
 grows with the rows up to PARTITIONS_MAX; beyond that, work per query grows with the rows.
 
 Vectors that are null, zero, of a length other than the most frequent one, or hold null or non-finite components take
@@ -31,6 +32,8 @@ from .embed_dedup import usable
 ROWS_PER_PARTITION, PARTITIONS_MAX, SAMPLE_MIN, SAMPLE_MAX = 1024, 256, 4096, 16384
 GRAPH_K, HIDDEN, EPOCHS, RECALL_AIM, SEED = 16, 64, 200, 0.94, 7
 BLOCK, CHUNK = 2048, 1024
+#: Rows found that a task holds at most, about, before it combines them by query.
+COMBINE = 1_000_000
 
 
 def _graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -160,6 +163,50 @@ def _score_block(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
 
+def _best(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The best k of each query, ties to smaller ids."""
+    pdf = pd.concat(found, ignore_index=True)
+    q = pdf["query_id"].to_numpy()
+    order = np.lexsort((pdf["id"].to_numpy(), -pdf["score"].to_numpy(), q))
+    first = np.flatnonzero(np.r_[True, q[order][1:] != q[order][:-1]])
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    return pdf.iloc[order[rank < k]]
+
+
+def _score_task(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Score all blocks of a task, which come one after another, and combine what they find for a query before it is shuffled."""
+    held: list[pd.DataFrame] = []
+    found: list[pd.DataFrame] = []
+    key, size = None, 0
+
+    def close() -> None:
+        nonlocal size
+        block = _score_block(pd.concat(held, ignore_index=True), k)
+        if len(block):
+            found.append(block)
+            size += len(block)
+        held.clear()
+
+    for pdf in batches:
+        keys = pdf[["part", "block", "chunk"]].to_numpy()
+        cuts = np.flatnonzero(np.r_[len(keys) > 0, (keys[1:] != keys[:-1]).any(axis=1)])
+        for lo, hi in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            if held and tuple(keys[lo]) != key:
+                close()
+                if size > COMBINE:
+                    found = [_best(found, k)]
+                    size = len(found[0])
+                    if size > COMBINE // 2:  # too many queries to hold: the window after the shuffle combines the rest
+                        yield found[0]
+                        found, size = [], 0
+            key = tuple(keys[lo])
+            held.append(pdf.iloc[lo:hi][["id", "vec", "query"]])
+    if held:
+        close()
+    if found:
+        yield _best(found, k)
+
+
 def search(df: DataFrame, id_col: str, vec: str, is_query, k: int = 20) -> DataFrame:
     """query_id, rank, id, score: the k nearest found for every row whose id satisfies is_query (a function of the id column)."""
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec}`").cast("array<float>").alias("vec"))
@@ -196,7 +243,8 @@ def search(df: DataFrame, id_col: str, vec: str, is_query, k: int = 20) -> DataF
         return d.withColumn(names[1], F.explode(F.sequence(F.lit(0), at(other) - 1)))
 
     both = dealt(indexed, blocks, chunks, ("block", "chunk")).unionByName(dealt(queries, chunks, blocks, ("chunk", "block")))
-    found = both.groupBy("part", "block", "chunk").applyInPandas(lambda pdf: _score_block(pdf[["id", "vec", "query"]], k), "query_id long, id long, score double")
+    tasks = both.repartition("part", "block", "chunk").sortWithinPartitions("part", "block", "chunk")
+    found = tasks.mapInPandas(lambda batches: _score_task(batches, k), "query_id long, id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
