@@ -6,6 +6,8 @@ No function here collects rows whose number grows with the input.
 from __future__ import annotations
 
 import atexit
+import sys
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,6 +55,17 @@ def _clean() -> None:
             return
 
 
+def worker_cache() -> dict:
+    """A dict that outlives a task in its Python worker. Operators that don't use it call drop_worker_cache() in their tasks."""
+    module = sys.modules.setdefault("_arborwell_worker", types.ModuleType("_arborwell_worker"))
+    return module.__dict__.setdefault("cache", {})
+
+
+def drop_worker_cache() -> None:
+    """Free what an earlier operator left in this Python worker: workers are reused, and their memory is one executor's."""
+    worker_cache().clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,7 +9,8 @@ patterns. The histogram and the patterns are bounded by SEQUENCE / UNIT, so the
 the input; pieces are never collected.
 
 Tokenising is by whole text. Texts of ordinary Latin letters are cut at white space and into the parts that the
-tokenizer never joins; each distinct part is encoded once per Python worker. Any other text is encoded as it stands.
+tokenizer never joins. A Python worker keeps the ids of the parts and words that it met lately, in two generations of
+about CACHE_WORDS each. Any other text is encoded as it stands.
 
 Null text counts as empty: one piece with the end id. Null ids pass through; repeated rows are documents of their own.
 Extra columns are ignored; an empty table gives no rows.
@@ -18,8 +19,6 @@ Extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_offset, stage
+from .common import running_offset, stage, worker_cache
 
 SEQUENCE, UNIT, END_ID, TOKENIZER = 4096, 16, 2, "word_bpe_49k.json"
-GAP, ROUNDS, CACHE_WORDS = 5e-4, 4_000, 1_200_000
+GAP, ROUNDS, CACHE_WORDS = 5e-4, 4_000, 600_000
 #: Characters whose texts may be encoded by parts: no normalisation or case rule looks past one character here.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
 #: The tokenizer's own parts of a lower-cased text, for those characters.
@@ -41,12 +40,6 @@ _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\
 _PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
-def _worker_cache() -> dict:
-    """A dict that outlives a task in its Python worker."""
-    module = sys.modules.setdefault("_arborwell_worker", types.ModuleType("_arborwell_worker"))
-    return module.__dict__.setdefault("cache", {})
-
-
 def encoder(path: str):
     """Function: list of texts -> list of little-endian uint32 ids as bytes, without the end id. path: a file, or the name of a public one."""
     import os
@@ -55,17 +48,23 @@ def encoder(path: str):
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    cache = _worker_cache()
+    cache = worker_cache()
     if path not in cache:
         tok = Tokenizer.from_file(path if os.path.exists(path) else public_tokenizers.path(path))
         last = np.zeros(max(tok.get_vocab().values()) + 1, dtype=bool)  # ids that end a part
         last[[i for w, i in tok.get_vocab().items() if w.endswith("</w>")]] = True
-        cache[path] = (tok, last, {}, {})
-    tok, last, parts, words = cache[path]
+        cache[path] = (tok, last, {}, {}, {}, {})
+    tok, last, parts, words, old_parts, old_words = cache[path]
 
     def ids(encodings) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in encodings]
 
+    def recall(new: set[str], young: dict, old: dict) -> set[str]:
+        """Those of new that old holds; they become young."""
+        known = {w for w in new if w in old}
+        young.update((w, old[w]) for w in known)
+        return known
+
     def learn(new: list[str]) -> None:
         """Ids of parts, many in one call: white space keeps them apart, and the last id of each ends a part."""
         flat = np.array(tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -78,12 +77,14 @@ def encoder(path: str):
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [t.split() if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        for young, old in ((words, old_words), (parts, old_parts)):
+            if len(young) > CACHE_WORDS:  # what was not met since the last turn goes
+                old.clear(), old.update(young), young.clear()
         new = {w for s in split if s for w in set(s) if w not in words}
-        if len(words) + len(new) > CACHE_WORDS or len(parts) > CACHE_WORDS:
-            words.clear(), parts.clear()
-            new = {w for s in split if s for w in s}
+        new -= recall(new, words, old_words)
         cut = {w: _PRETOKEN.findall(w.lower()) for w in new}
-        unknown = list({p for ps in cut.values() for p in ps if p not in parts})
+        unknown = {p for ps in cut.values() for p in ps if p not in parts}
+        unknown = list(unknown - recall(unknown, parts, old_parts))
         for at in range(0, len(unknown), 20_000):
             learn(unknown[at : at + 20_000])
         part = parts.__getitem__

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop_worker_cache, stage
 
 FEATURES, RIDGE, FOLDS, BINS, SEED, THRESHOLD, HELD_OUT = 256, 1e-3, 3, 400, 11, 0.7, 2
 BRANCH = 64  # partial sums that meet in one task, at most about the partitions divided by this
@@ -96,6 +96,7 @@ def with_statistics(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """id, x (STATS doubles) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_cache()
         for b in batches:
             x = np.array([statistics(t.as_py()) for t in b.column(1)]).reshape(-1, STATS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), STATS).cast(pa.list_(pa.float64()))], names=["id", "x"])
@@ -185,6 +186,7 @@ def keep_good(df: DataFrame, text: str, model: dict, threshold: float = THRESHOL
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_cache()
         for b in batches:
             x = np.array([statistics(t.as_py()) for t in b.column(place)]).reshape(-1, STATS)
             yield b.filter(pa.array(predict(x, model) >= threshold))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, unstage
+from .common import drop_worker_cache, stage, unstage
 from .graph import connected_components, contract
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -57,6 +57,7 @@ def fingerprints(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """id, fp (the fingerprint's bits as a signed long) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_cache()
         for b in batches:
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
