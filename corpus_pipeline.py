@@ -44,7 +44,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality", quality_stage), ("near_duplicates", dedup_stage), ("secrets", secrets_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
-#: SQL can express neither the classifier nor the tokenizer; tests/llm/test_pipeline.py holds run() against brute force.
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
