@@ -69,19 +69,22 @@ def encoder(path: str):
             parts.update(zip(new, ids(tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [t.split() if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        new = {w for s in split if s for w in set(s) if w not in words}
+        split = [t.split() if _PLAIN.fullmatch(t) and "<|" not in t else [] for t in texts]
+        found = [list(map(words.get, s)) for s in split]
+        gaps = [[k for k, v in enumerate(f) if v is None] for f in found]
+        new = {s[k] for s, gap in zip(split, gaps, strict=True) for k in gap}
         if len(words) + len(new) > CACHE_WORDS or len(parts) > CACHE_WORDS:
             words.clear(), parts.clear()
-            new = {w for s in split if s for w in s}
         cut = {w: _PRETOKEN.findall(w.lower()) for w in new}
         unknown = list({p for ps in cut.values() for p in ps if p not in parts})
         for at in range(0, len(unknown), 20_000):
             learn(unknown[at : at + 20_000])
         part = parts.__getitem__
         words.update((w, b"".join(map(part, ps))) for w, ps in cut.items())
-        get = words.__getitem__
-        return [ids([tok.encode(t, add_special_tokens=False)])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        for s, f, gap in zip(split, found, gaps, strict=True):
+            for k in gap:
+                f[k] = words[s[k]]
+        return [b"".join(f) if f else ids([tok.encode(t, add_special_tokens=False)])[0] for t, f in zip(texts, found, strict=True)]
 
     return encode
 
