@@ -2,12 +2,15 @@
 
 Words of whole texts (lower-cased A-Z) become ids: the most frequent words of the corpus, counted over all documents, then
 BUCKETS ids for the rest by hash. The network sees the WINDOW words on either side of a position, never the word
-itself, and predicts it through a class of ids and a member of the class. A document's score is the sum of its words'
-conditional log-probabilities, and the mean.
+itself, and predicts it through a class of ids and a member of the class. A word of a bucket is then given by its share of
+the bucket in the counts over all documents; these counts are a staged table, one row per distinct word, that is joined to
+the documents' words and never collected. A bucket keeps the share of one occurrence for words that were not counted. So
+every word has a probability of its own. A document's score is the sum of its words' conditional log-probabilities, and
+the mean.
 
 Training: every TRAIN_EVERY-th document by hash of its text, so training grows with the corpus; in each round every partition
 trains a copy from the shared weights, and copies are averaged by the words they saw, in a tree. Only the averaged
-weights (a fixed size) and the vocabulary (a fixed size) reach the driver.
+weights, the ids of the network's words and the sums of the buckets (all of fixed sizes) reach the driver.
 
 Null text counts as empty: 0 words, log-probability 0, mean null. Null ids pass through, repeated rows score alike, extra columns
 are ignored; an empty table gives no rows.
@@ -25,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage, table
+
 CLASSES, MEMBERS, BUCKETS, WINDOW, DIM, HIDDEN = 32, 32, 64, 2, 16, 32
 TRAIN_EVERY, ROUNDS, BATCH, RATE, SEED, FLUSH, BRANCH = 16, 2, 1024, 0.01, 17, 400_000, 64
 IDS = CLASSES * MEMBERS
@@ -35,8 +40,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def vocabulary(df: DataFrame, text: str) -> dict[bytes, int]:
-    """Ids of the IDS - BUCKETS most frequent words, most frequent first (ties by bytes), counted over all rows."""
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """w, n of every distinct word, counted over all rows; not staged."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -52,10 +57,29 @@ def vocabulary(df: DataFrame, text: str) -> dict[bytes, int]:
                     seen.clear()
         yield out()
 
-    counts = df.select(F.col(f"`{text}`")).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return df.select(F.col(f"`{text}`")).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(df: DataFrame, text: str) -> dict[bytes, int]:
+    """Ids of the network's own words, counted over all rows."""
+    return head(word_counts(df, text))
+
+
+def head(counts: DataFrame) -> dict[bytes, int]:
+    """Ids of the IDS - BUCKETS most frequent words of counts, most frequent first (ties by bytes)."""
     return {bytes(r["w"]): k for k, r in enumerate(counts.orderBy(F.desc("n"), "w").limit(IDS - BUCKETS).collect())}
 
 
+def bucket_sums(counts: DataFrame, vocab: dict[bytes, int]) -> np.ndarray:
+    """Occurrences of all words of each bucket."""
+    own = counts.sparkSession.createDataFrame([(bytearray(w),) for w in vocab], "w binary")
+    rest = counts.join(F.broadcast(own), "w", "left_anti").groupBy((F.crc32("w") % BUCKETS).alias("b")).agg(F.sum("n").alias("n"))
+    sums = np.zeros(BUCKETS, dtype=np.int64)
+    for r in rest.collect():  # BUCKETS rows at most
+        sums[r["b"]] = r["n"]
+    return sums
+
+
 def _ids(words: list[bytes], vocab: dict[bytes, int]) -> np.ndarray:
     get = vocab.get
     return np.fromiter((i if (i := get(w)) is not None else IDS - BUCKETS + zlib.crc32(w) % BUCKETS for w in words), dtype=np.int64, count=len(words))
@@ -167,7 +191,7 @@ def fit(df: DataFrame, text: str, vocab: dict[bytes, int], every: int = TRAIN_EV
 
 
 def score(df: DataFrame, id_col: str, text: str, vocab: dict[bytes, int], weights: list[np.ndarray]) -> DataFrame:
-    """id, n_words, log_prob, score per row."""
+    """id, n_words, log_prob, score per row, where a word of a bucket counts as its bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,13 +211,45 @@ def score(df: DataFrame, id_col: str, text: str, vocab: dict[bytes, int], weight
     return df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"id {kind}, n_words long, log_prob double, score double")
 
 
+def score_words(df: DataFrame, id_col: str, text: str, counts: DataFrame, vocab: dict[bytes, int], weights: list[np.ndarray]) -> DataFrame:
+    """id, n_words, log_prob, score per row, where a word of a bucket has its share of it by counts (w, n; staged)."""
+    base = bucket_sums(counts, vocab) + 1  # one for all words not counted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.log(base)
+        for b in batches:
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
+                texts = part.column(1).to_pylist()
+                stream, at, own = _stream(texts, vocab)
+                logp, target = np.zeros(len(at)), stream[at]
+                for k in range(0, len(at), 16384):
+                    p = at[k : k + 16384]
+                    logp[k : k + 16384] = log_probabilities(weights, _contexts(stream, p), stream[p])
+                far = target >= IDS - BUCKETS
+                logp[far] -= whole[target[far] - (IDS - BUCKETS)]
+                n = np.bincount(own, minlength=part.num_rows)
+                total = np.bincount(own, weights=logp, minlength=part.num_rows)
+                rest = [Counter([w for w in words_of(t) if w not in vocab]) for t in texts]
+                words = pa.StructArray.from_arrays([pa.array([w for c in rest for w in c], pa.binary()), pa.array([k for c in rest for k in c.values()], pa.int64())], names=["w", "k"])
+                ends = pa.array(np.cumsum([0, *map(len, rest)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), pa.ListArray.from_arrays(ends, words)], names=["id", "n_words", "part", "rest"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"id {kind}, n_words long, part double, rest array<struct<w:binary,k:long>>")
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "rows")  # written once: its numbers stay
+    words = rows.select("row", F.explode("rest").alias("x")).select("row", "x.w", "x.k")
+    logs = words.join(counts, "w", "left").groupBy("row").agg(F.sum(F.col("k") * F.log(F.coalesce("n", F.lit(1)))).alias("own"))
+    log_prob = F.col("part") + F.coalesce("own", F.lit(0.0))
+    return rows.drop("rest").join(logs, "row", "left").select("id", "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).alias("score"))
+
+
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every document."""
-    from .common import table
-
     docs = table(spark, sf_dir, "documents")
-    vocab = vocabulary(docs, "text")
-    return score(docs, "doc_id", "text", vocab, fit(docs, "text", vocab)).withColumnRenamed("id", "doc_id")
+    counts = stage(word_counts(docs, "text"), "words")
+    vocab = head(counts)
+    return score_words(docs, "doc_id", "text", counts, vocab, fit(docs, "text", vocab)).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"op6_lm_scoring": op6_lm_scoring}

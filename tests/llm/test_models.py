@@ -71,6 +71,32 @@ def test_lm_scores_match_plain_sums_and_prefer_the_corpus_order(spark):
     assert lm_scoring.score(df.limit(0), "id", "text", vocab, w).count() == 0
 
 
+def test_lm_every_word_has_its_own_probability(spark, sf):
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(lm_scoring.IDS)]  # more than the network's own words
+    texts = [" ".join(common * 3)] + [" ".join(rng.choice(common) for _ in range(50)) for _ in range(5)]
+    seen = {lm_scoring.zlib.crc32(w.encode()) % lm_scoring.BUCKETS: w for w in (f"r{k}" for k in range(2000))}
+    rare, often = next((r, o) for b, r in seen.items() for o in (f"o{k}" for k in range(2000)) if lm_scoring.zlib.crc32(o.encode()) % lm_scoring.BUCKETS == b)
+    texts += [f"c1 c2 {rare} c3 c4", f"c1 c2 {often} c3 c4", f"c1 c2 {often} c3 c4"]  # one bucket, one context
+    docs = spark.createDataFrame([*enumerate(texts), (None, None), (7, texts[7])], "doc_id long, text string")
+    rows = lm_scoring.op6_lm_scoring(spark, sf(documents=docs)).collect()
+    by = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(texts) + 2 and by[None]["n_words"] == 0 and by[None]["score"] is None and by[None]["log_prob"] == 0
+    assert by[7]["log_prob"] - by[6]["log_prob"] == pytest.approx(np.log(3), abs=1e-6)  # often stands three times, rare once
+    counts = lm_scoring.word_counts(docs, "text").localCheckpoint()
+    vocab, w = lm_scoring.head(counts), lm_scoring.initial()
+    sums = lm_scoring.bucket_sums(counts, vocab)
+    n = {bytes(r["w"]): r["n"] for r in counts.collect()}
+    assert sums.sum() == sum(k for x, k in n.items() if x not in vocab) > 0
+    plain = {r["id"]: r["log_prob"] for r in lm_scoring.score(docs, "doc_id", "text", vocab, w).collect()}
+    for r in lm_scoring.score_words(docs, "doc_id", "text", counts, vocab, w).collect():
+        own = [x for x in lm_scoring.words_of(dict(enumerate(texts)).get(r["id"])) if x not in vocab]
+        share = sum(np.log(n[x] / (sums[lm_scoring.zlib.crc32(x) % lm_scoring.BUCKETS] + 1)) for x in own)
+        assert r["log_prob"] == pytest.approx(plain[r["id"]] + share, rel=1e-6)
+    new = spark.createDataFrame([(1, "never counted")], "doc_id long, text string")
+    assert np.isfinite(lm_scoring.score_words(new, "doc_id", "text", counts, vocab, w).first()["log_prob"])
+
+
 @needs_data
 def test_each_stage_of_the_pipeline_takes_effect(spark, tmp_path):
     folder = "/root/testdata/sf0.01"
