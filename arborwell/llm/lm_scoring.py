@@ -8,7 +8,7 @@ the documents' words and never collected. A bucket keeps the share of one occurr
 every word has a probability of its own. A document's score is the sum of its words' conditional log-probabilities, and
 the mean.
 
-Training: every TRAIN_EVERY-th document by hash of its text, so training grows with the corpus; in each round every partition
+Training: all documents (TRAIN_EVERY = 1), in every round; in each round every partition
 trains a copy from the shared weights, and copies are averaged by the words they saw, in a tree. Only the averaged
 weights, the ids of the network's words and the sums of the buckets (all of fixed sizes) reach the driver.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import stage, table
 
 CLASSES, MEMBERS, BUCKETS, WINDOW, DIM, HIDDEN = 32, 32, 64, 2, 16, 32
-TRAIN_EVERY, ROUNDS, BATCH, RATE, SEED, FLUSH, BRANCH = 16, 2, 1024, 0.01, 17, 400_000, 64
+TRAIN_EVERY, ROUNDS, BATCH, RATE, SEED, FLUSH, BRANCH = 1, 2, 1024, 0.01, 17, 400_000, 64
 IDS = CLASSES * MEMBERS
 EDGE = IDS  # stands beyond either end of a text
 
@@ -156,7 +156,9 @@ def _stream(texts, vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.
 
 def fit(df: DataFrame, text: str, vocab: dict[bytes, int], every: int = TRAIN_EVERY, rounds: int = ROUNDS) -> list[np.ndarray]:
     weights = initial()
-    docs = df.select(F.col(f"`{text}`").alias("t")).where(F.col("t").isNotNull() & (F.pmod(F.xxhash64("t"), F.lit(every)) == 0))
+    docs = df.select(F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
+    if every > 1:
+        docs = docs.where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
     for _ in range(rounds):
         shared = weights
 

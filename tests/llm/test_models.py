@@ -97,6 +97,19 @@ def test_lm_every_word_has_its_own_probability(spark, sf):
     assert np.isfinite(lm_scoring.score_words(new, "doc_id", "text", counts, vocab, w).first()["log_prob"])
 
 
+def test_lm_query_trains_on_all_documents(spark, sf):
+    rng = random.Random(7)
+    sentences = ["the cat sat on the mat .", "a dog ran in the park .", "we read an old book at home ."]
+    texts = [" ".join(rng.choice(sentences) for _ in range(40)) for _ in range(1200)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").where(F.pmod(F.xxhash64("text"), F.lit(16)) != 0)  # none that a stride of 16 takes
+    words = texts[0].split()
+    mixed = spark.createDataFrame([(-1, " ".join(rng.sample(words, len(words))))], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in lm_scoring.op6_lm_scoring(spark, sf(documents=df.union(mixed))).collect()}
+    scores = [r["score"] for k, r in rows.items() if k >= 0]
+    assert len(scores) > 1000 and min(scores) > rows[-1]["score"] + 0.5
+    assert np.mean(scores) > -2.5  # about -7 by the initial weights
+
+
 @needs_data
 def test_each_stage_of_the_pipeline_takes_effect(spark, tmp_path):
     folder = "/root/testdata/sf0.01"
