@@ -3,10 +3,11 @@
 Native: every step is a DataFrame function on one row, so there is no shuffle and no key that could be hot.
 
 Strong kinds are reported wherever they stand: assign, access, hex. Weak kinds are parts of a multipart credential:
-cred (a short or loosely named secret), ident (who logs in) and endpoint (where). The parts of a text are sorted by
+cred (a short or loosely named secret, or a long unnamed token beside an access id), ident (who logs in) and endpoint (where). The parts of a text are sorted by
 start and interval-joined within a scope of SCOPE code points by a sweep: a running maximum gives each part the
 nearest earlier part of every class, the same sweep backwards the nearest later one. cred is reported with an
-identifier or an endpoint in its scope, ident with a secret, endpoint with both an identifier and a secret.
+identifier or an endpoint in its scope, ident with a secret, endpoint with both an identifier and a secret. hex counts as
+a secret there. The oracle SQL is older: it knows neither secret keys, unnamed tokens nor hex as a part.
 
 Null text counts as empty: no spans. Nulls elsewhere, repeated rows and extra columns pass through; an empty table
 gives an empty result. Texts are read whole. Spans that start together are ordered by kind.
@@ -27,8 +28,10 @@ ASSIGN = (
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # a run of 18 or more holds its first AKIA: the same spans as AKIA[A-Z0-9]+ of 18+
 HEX = r"[0-9a-f]{16,}"
 #: Weak kinds.
-CRED = r"""([Pp][Ww][Dd]|[Pp]assphrase|[Cc]redential|[Pp]rivate_?[Kk]ey)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""
-IDENT = r"""([Uu]ser(name|_?id)?|USER(NAME|_?ID)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii]d|[Aa]ccess_?[Kk]ey(_?[Ii]d)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
+CRED = r"""([Pp][Ww][Dd]|[Pp]assphrase|[Cc]redential|[Pp]rivate_?[Kk]ey|[Ss]ecret_?([Aa]ccess_?)?[Kk]ey|SECRET_?(ACCESS_?)?KEY)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""
+IDENT = r"""([Uu]ser(name|_?id)?|USER(NAME|_?ID)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii]d|(?<![Ss]ecret_?)[Aa]ccess_?[Kk]ey(_?[Ii]d)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
+#: A long unnamed token of letters in both cases; a part only beside an access id.
+TOKEN = r"""(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}={0,2}"""
 ENDPOINT = r"""([a-z][a-z0-9+]*://[A-Za-z0-9._~:@/?#%&=+-]+|([Hh]ost(name)?|HOST(NAME)?|[Ee]ndpoint|[Ss]erver)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,})"""
 ASSIGN_MIN, CRED_MIN, SCOPE = 12, 6, 200
 #: Kinds in their order.
@@ -56,8 +59,10 @@ def find_spans(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
     keep = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     work = df.select(keep.alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     none_hits = F.array().cast("array<struct<t:string,gap:bigint>>")
-    patterns = [ASSIGN, ACCESS, HEX, CRED, IDENT, ENDPOINT]
-    work = work.select("_row", *[F.when(F.col("_t").rlike(p), _hits(F.col("_t"), p)).otherwise(none_hits).alias(f"_h{k}") for k, p in enumerate(patterns)])
+    patterns = [ASSIGN, ACCESS, HEX, CRED, IDENT, ENDPOINT, TOKEN]
+    has = [F.col("_t").rlike(p) for p in patterns]
+    has[6] = has[1] & has[6]
+    work = work.select("_row", *[F.when(has[k], _hits(F.col("_t"), p)).otherwise(none_hits).alias(f"_h{k}") for k, p in enumerate(patterns)])
     none_ends = F.array().cast("array<bigint>")
     zero = F.lit(0).cast("long")
 
@@ -65,8 +70,8 @@ def find_spans(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
         lens = F.transform(F.col(f"_h{k}"), lambda h: h["gap"] + F.length(h["t"]))
         return F.when(F.size(f"_h{k}") > 0, scan(lens, zero, lambda a, b: a + b)).otherwise(none_ends)
 
-    work = work.select("*", *[ends(k).alias(f"_e{k}") for k in range(6)])
-    work = work.select("_row", *[_spans(F.col(f"_h{k}"), F.col(f"_e{k}"), k).alias(f"_s{k}") for k in range(6)])
+    work = work.select("*", *[ends(k).alias(f"_e{k}") for k in range(7)])
+    work = work.select("_row", *[_spans(F.col(f"_h{k}"), F.col(f"_e{k}"), k).alias(f"_s{k}") for k in range(7)])
     def assigned(lo: int, hi: int, kind: int) -> Column:
         def ok(s: Column) -> Column:
             n = F.length(F.regexp_extract(s["t"], ASSIGN, 2))
@@ -81,11 +86,9 @@ def find_spans(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
         "_row",
         F.concat(assigned(ASSIGN_MIN, _FAR, 0), bare(1), bare(2)).alias("_base"),
         F.concat(assigned(CRED_MIN, ASSIGN_MIN, 3), bare(3), bare(4), bare(5)).alias("_weak"),
+        bare(6).alias("_tokens"),
     )
-    # the sweep runs only where there is a weak part
-    parts = F.array_sort(F.concat(F.filter(F.col("_base"), lambda s: s["kind"] < 2), F.col("_weak")))
-    work = work.select("_row", "_base", F.when(F.size("_weak") > 0, parts).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("_parts"))
-    classes = {"sec": (0, 3), "who": (1, 4), "end": (5,)}
+    none_parts = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
 
     def nearest(kinds: tuple[int, ...], back: bool) -> Column:
         p = F.reverse(F.col("_parts")) if back else F.col("_parts")
@@ -94,16 +97,26 @@ def find_spans(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
         run = scan(at, far, F.least if back else F.greatest)
         return F.when(F.size("_parts") > 0, F.reverse(run) if back else run).otherwise(none_ends)
 
+    def near(s: Column, i: Column, c: str) -> Column:
+        return (s["start"] - F.get(F.col(f"_{c}0"), i) <= SCOPE) | (F.get(F.col(f"_{c}1"), i) - s["start"] <= SCOPE)
+
+    # tokens beside an access id become parts of kind cred
+    access = F.filter(F.col("_base"), lambda s: s["kind"] == 1)
+    work = work.select("_row", "_base", "_weak", F.when(F.size("_tokens") > 0, F.array_sort(F.concat(access, "_tokens"))).otherwise(none_parts).alias("_parts"))
+    work = work.select("*", nearest((1,), False).alias("_id0"), nearest((1,), True).alias("_id1"))
+    tokens = F.filter(F.col("_parts"), lambda s, i: (s["kind"] == 6) & near(s, i, "id"))
+    weak = F.concat("_weak", F.transform(tokens, lambda s: F.struct(s["start"], F.lit(3).alias("kind"), s["end"])))
+    work = work.select("_row", "_base", weak.alias("_weak"))
+    # the sweep runs only where there is a weak part
+    work = work.select("_row", "_base", F.when(F.size("_weak") > 0, F.array_sort(F.concat("_base", "_weak"))).otherwise(none_parts).alias("_parts"))
+    classes = {"sec": (0, 2, 3), "who": (1, 4), "end": (5,)}
     work = work.select("_row", "_base", "_parts", *[nearest(k, b).alias(f"_{c}{int(b)}") for c, k in classes.items() for b in (False, True)])
 
     def kept(s: Column, i: Column) -> Column:
-        def near(c: str) -> Column:
-            return (s["start"] - F.get(F.col(f"_{c}0"), i) <= SCOPE) | (F.get(F.col(f"_{c}1"), i) - s["start"] <= SCOPE)
-
         return (
-            F.when(s["kind"] == 3, near("who") | near("end"))
-            .when(s["kind"] == 4, near("sec"))
-            .when(s["kind"] == 5, near("who") & near("sec"))
+            F.when(s["kind"] == 3, near(s, i, "who") | near(s, i, "end"))
+            .when(s["kind"] == 4, near(s, i, "sec"))
+            .when(s["kind"] == 5, near(s, i, "who") & near(s, i, "sec"))
             .otherwise(F.lit(False))
         )
 
@@ -158,6 +171,11 @@ def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
     )
 
 
+#: Weak kinds as the SQL has them.
+_SQL_CRED = r"""([Pp][Ww][Dd]|[Pp]assphrase|[Cc]redential|[Pp]rivate_?[Kk]ey)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""
+_SQL_IDENT = r"""([Uu]ser(name|_?id)?|USER(NAME|_?ID)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii]d|[Aa]ccess_?[Kk]ey(_?[Ii]d)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
+
+
 def _sql_hits(kind: int, pattern: str, extra: str = "TRUE") -> str:
     p = pattern.replace("'", "''")
     return f"""SELECT r, {kind} AS kind, t, e - length(t) AS s, e FROM (
@@ -175,8 +193,8 @@ def _sql() -> str:
     return f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     strong AS ({_sql_hits(0, ASSIGN, f"{value} >= {ASSIGN_MIN}")} UNION ALL {_sql_hits(1, ACCESS)} UNION ALL {_sql_hits(2, HEX)}),
-    weak AS ({_sql_hits(3, ASSIGN, f"{value} >= {CRED_MIN} AND {value} < {ASSIGN_MIN}")} UNION ALL {_sql_hits(3, CRED)}
-             UNION ALL {_sql_hits(4, IDENT)} UNION ALL {_sql_hits(5, ENDPOINT)}),
+    weak AS ({_sql_hits(3, ASSIGN, f"{value} >= {CRED_MIN} AND {value} < {ASSIGN_MIN}")} UNION ALL {_sql_hits(3, _SQL_CRED)}
+             UNION ALL {_sql_hits(4, _SQL_IDENT)} UNION ALL {_sql_hits(5, ENDPOINT)}),
     near AS (SELECT r, kind, s, e, {near("0, 3")} AS sec, {near("1, 4")} AS who, {near("5")} AS wher
              FROM (SELECT * FROM strong WHERE kind < 2 UNION ALL SELECT * FROM weak)),
     spans AS (SELECT r, kind, s, e FROM strong UNION ALL
