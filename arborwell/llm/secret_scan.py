@@ -4,10 +4,11 @@ Native: every step is a DataFrame function on one row, so there is no shuffle an
 
 Strong kinds are reported wherever they stand: assign, access, hex. Weak kinds are parts of a multipart credential:
 cred (a short or loosely named secret, or a long unnamed token beside an access id), ident (who logs in) and endpoint (where). The parts of a text are sorted by
-start and interval-joined within a scope of SCOPE code points by a sweep: a running maximum gives each part the
-nearest earlier part of every class, the same sweep backwards the nearest later one. cred is reported with an
+start and interval-joined within a scope of SCOPE code points, from the end of one part to the start of the next, by a
+sweep: a running maximum of ends gives each part the nearest earlier part of every class, a running minimum of starts
+from the back the nearest later one. cred is reported with an
 identifier or an endpoint in its scope, ident with a secret, endpoint with both an identifier and a secret. hex counts as
-a secret there. The oracle SQL is older: it knows neither secret keys, unnamed tokens nor hex as a part.
+a secret there. The oracle SQL is older: it knows neither secret keys, unnamed tokens nor hex as a part, and measures from start to start.
 
 Null text counts as empty: no spans. Nulls elsewhere, repeated rows and extra columns pass through; an empty table
 gives an empty result. Texts are read whole. Spans that start together are ordered by kind.
@@ -93,12 +94,12 @@ def find_spans(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
     def nearest(kinds: tuple[int, ...], back: bool) -> Column:
         p = F.reverse(F.col("_parts")) if back else F.col("_parts")
         far = F.lit(_FAR if back else -_FAR).cast("long")
-        at = F.transform(p, lambda s: F.when(s["kind"].isin(*kinds), s["start"]).otherwise(far))
+        at = F.transform(p, lambda s: F.when(s["kind"].isin(*kinds), s["start"] if back else s["end"]).otherwise(far))
         run = scan(at, far, F.least if back else F.greatest)
         return F.when(F.size("_parts") > 0, F.reverse(run) if back else run).otherwise(none_ends)
 
     def near(s: Column, i: Column, c: str) -> Column:
-        return (s["start"] - F.get(F.col(f"_{c}0"), i) <= SCOPE) | (F.get(F.col(f"_{c}1"), i) - s["start"] <= SCOPE)
+        return (s["start"] - F.get(F.col(f"_{c}0"), i) <= SCOPE) | (F.get(F.col(f"_{c}1"), i) - s["end"] <= SCOPE)
 
     # tokens beside an access id become parts of kind cred
     access = F.filter(F.col("_base"), lambda s: s["kind"] == 1)

@@ -79,6 +79,17 @@ def test_secret_halves_of_multipart_credentials(spark):
     assert got[4:7] == texts[4:7] and got[7].endswith(f"{key} far")
 
 
+def test_scope_is_the_gap_between_parts(spark):
+    url = "https://x.example/" + "z" * 250
+    pad = lambda n: " " + "x" * (n - 2) + " "
+    texts = [f"{url} login=bob pwd=hunter22", f"login=bob pwd=hunter22 {url}", f"{url}{pad(190)}login=bob pwd=hunter22", f"{url}{pad(191)}login=bob pwd=hunter22", f"pwd={'k' * 300}{pad(200)}login=bob", f"pwd={'k' * 300}{pad(201)}login=bob"]
+    df = spark.createDataFrame([*enumerate(texts)], "id long, text string")
+    got = [r.text for r in secret_scan.redact(df).orderBy("id").collect()]
+    assert got[0] == got[1] == "[SECRET] [SECRET] [SECRET]"
+    assert got[2] == f"[SECRET]{pad(190)}[SECRET] [SECRET]" and got[3] == f"{url}{pad(191)}[SECRET] [SECRET]"
+    assert got[4] == f"[SECRET]{pad(200)}[SECRET]" and got[5] == texts[5]
+
+
 def test_scan_is_linear_and_right(spark):
     from pyspark.sql import functions as F
 
