@@ -10,8 +10,10 @@ import sys
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 _STAGED: list[tuple[SparkSession, str]] = []
 #: Elements per block of a scan inside an array: appending to an array copies it, so blocks keep a scan linear.
@@ -96,6 +98,28 @@ def scan(values: Column, zero: Column, step) -> Column:
     return F.flatten(outer["a"])
 
 
+def tree_fold(parts: DataFrame, schema: str, fold, fan: int = 32) -> DataFrame:
+    """One row (none of an empty table): fold over lists of parts' rows (tuples), in a tree whose groups hold about fan rows.
+
+    parts has a row per partition or few; the number of levels follows the number of partitions, a group's size does not.
+    """
+    names = parts.columns
+
+    def run(rows: pa.Table) -> pa.Table:
+        branch = rows.column("_branch")[0].as_py()
+        got = fold(list(zip(*[rows.column(c).to_pylist() for c in names], strict=True)))
+        return pa.table({"_branch": [branch // fan], **{c: [v] for c, v in zip(names, got, strict=True)}}, schema=pa.schema([("_branch", pa.int64()), *[(c, kinds[c]) for c in names]]))
+
+    kinds = {f.name: to_arrow_type(f.dataType) for f in parts.schema}
+    left = parts.rdd.getNumPartitions()
+    parts = parts.withColumn("_branch", F.floor(F.spark_partition_id() / fan).cast("long"))
+    while True:
+        parts = parts.groupBy("_branch").applyInArrow(run, f"_branch long, {schema}")
+        left = -(-left // fan)
+        if left <= 1:
+            return parts.drop("_branch")
+
+
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """A staged df, marked for broadcast if it has at most so many rows; else a plain join shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

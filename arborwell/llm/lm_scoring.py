@@ -3,61 +3,111 @@
 Words of whole texts (lower-cased A-Z) become ids: the most frequent words of the corpus, counted over all documents, then
 BUCKETS ids for the rest by hash. The network sees the WINDOW words on either side of a position, never the word
 itself, and predicts it through a class of ids and a member of the class. A word of a bucket is then given by its share of
-the bucket in the counts over all documents; these counts are a staged table, one row per distinct word, that is joined to
-the documents' words and never collected. A bucket keeps the share of one occurrence for words that were not counted. So
+the bucket in the counts over all documents; these counts are a staged table, one row per distinct word, which grows with the
+corpus and is never collected. A bucket keeps the share of one occurrence for words that were not counted. So
 every word has a probability of its own. A document's score is the sum of its words' conditional log-probabilities, and
 the mean.
 
-Training: all documents (TRAIN_EVERY = 1), in every round; in each round every partition
-trains a copy from the shared weights, and copies are averaged by the words they saw, in a tree. Only the averaged
+Texts are read once: segments() numbers the words of some documents by a list of distinct words of their own, so counting,
+training and scoring go on from small numbers, and the corpus' counts meet a segment's distinct words, not its text.
+
+Training: every document is trained on once (TRAIN_EVERY = 1): in the first round an EARLY-th of each segment's documents, in the second
+the others, from the first round's weights. In a round every partition trains a copy from the shared weights, in steps that grow with
+the words it has seen, and copies are averaged by the words they saw, in a tree of fixed fan-in. Only the averaged
 weights, the ids of the network's words and the sums of the buckets (all of fixed sizes) reach the driver.
 
 Null text counts as empty: 0 words, log-probability 0, mean null. Null ids pass through, repeated rows score alike, extra columns
-are ignored; an empty table gives no rows.
+are ignored; an empty table gives no rows. A text is never cut; one longer than a segment is a segment of its own.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import drop_worker_cache, stage, table, tree_fold
 
 CLASSES, MEMBERS, BUCKETS, WINDOW, DIM, HIDDEN = 32, 32, 64, 2, 16, 32
-TRAIN_EVERY, ROUNDS, BATCH, RATE, SEED, FLUSH, BRANCH = 1, 2, 1024, 0.01, 17, 400_000, 64
+TRAIN_EVERY, EPOCHS, EARLY, RATE, SEED = 1, 1, 8, 0.05, 17
+#: Positions of a training step: the words seen so far divided by GROW, within these bounds.
+STEP_MIN, STEP_MAX, GROW = 128, 16384, 32
+#: A segment ends at so many words or distinct words; scores are computed for so many positions at once.
+SEGMENT_WORDS, SEGMENT_DISTINCT, SLICE = 1_500_000, 200_000, 16_384
 IDS = CLASSES * MEMBERS
 EDGE = IDS  # stands beyond either end of a text
+#: Positions whose arrays fit a core's cache.
+BLOCK = 1024
+_ONES, _TRUE = np.ones(max(BLOCK, CLASSES, MEMBERS), np.float32), np.ones(1, dtype=bool)
+_BESIDE = np.array([d for d in range(-WINDOW, WINDOW + 1) if d])
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """w, n of every distinct word, counted over all rows; not staged."""
+def segments(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """words, counts: the distinct words of some rows; ids, sizes: these rows; code: their words as places in words (zstd, int32). Not staged."""
+    kind = df.schema[id_col].dataType.simpleString()
+    id_type = df.select(F.col(f"`{id_col}`")).schema[0].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        drop_worker_cache()
+        arrow_id = to_arrow_type(id_type)
+        place, ids, sizes, codes, total = defaultdict(count().__next__), [], [], [], 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
+        def close() -> pa.RecordBatch:
+            code = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+            number = np.bincount(code, minlength=len(place))
+            one = lambda values, t: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, t))
+            cols = [one(list(place), pa.binary()), one(number, pa.int64()), one(ids, arrow_id), one(sizes, pa.int64()), pa.array([total], pa.int64()), pa.array([pa.compress(code.tobytes(), codec="zstd", asbytes=True) if total else b""], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["words", "counts", "ids", "sizes", "total", "code"])
 
         for b in batches:
-            for t in b.column(0):
-                seen.update(words_of(t.as_py()))
-                if len(seen) > FLUSH:
-                    yield out()
-                    seen.clear()
-        yield out()
+            for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = words_of(t.as_py())
+                if ids and (total + len(words) > SEGMENT_WORDS or len(place) > SEGMENT_DISTINCT):
+                    yield close()
+                    place, ids, sizes, codes, total = defaultdict(count().__next__), [], [], [], 0
+                codes.append(np.fromiter(map(place.__getitem__, words), dtype=np.int32, count=len(words)))
+                ids.append(key), sizes.append(len(words))
+                total += len(words)
+        if ids:
+            yield close()
+
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"words array<binary>, counts array<long>, ids array<{kind}>, sizes array<long>, total long, code binary")
+
+
+def _numbered(seg: DataFrame) -> DataFrame:
+    return stage(seg.withColumn("seg", F.monotonically_increasing_id()), "segments")  # written once: its numbers stay
+
+
+def _decode(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Each segment of a batch as numpy, with its column of words still in Arrow."""
+    at = {n: k for k, n in enumerate(batch.schema.names)}
+    for k in range(batch.num_rows):
+        total = batch.column(at["total"])[k].as_py()
+        raw = pa.decompress(batch.column(at["code"])[k].as_py(), decompressed_size=4 * total, codec="zstd", asbytes=True) if total else b""
+        out = {"code": np.frombuffer(raw, np.int32), "words": batch.column(at["words"])[k].values.to_pylist(), "sizes": np.asarray(batch.column(at["sizes"])[k].values, dtype=np.int64)}
+        yield out | {"ids": batch.column(at["ids"])[k].values, "own": batch.column(at["own"])[k].as_py() if "own" in at else None}
 
-    return df.select(F.col(f"`{text}`")).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+def counts_of(seg: DataFrame) -> DataFrame:
+    """w, n of every distinct word of segments."""
+    return seg.select(F.explode(F.arrays_zip("words", "counts")).alias("c")).groupBy(F.col("c.words").alias("w")).agg(F.sum("c.counts").alias("n"))
+
+
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """w, n of every distinct word, counted over all rows; not staged."""
+    return counts_of(segments(df.select(F.col(f"`{text}`").alias("t"), F.lit(0).alias("id")), "id", "t"))
 
 
 def vocabulary(df: DataFrame, text: str) -> dict[bytes, int]:
@@ -70,10 +120,14 @@ def head(counts: DataFrame) -> dict[bytes, int]:
     return {bytes(r["w"]): k for k, r in enumerate(counts.orderBy(F.desc("n"), "w").limit(IDS - BUCKETS).collect())}
 
 
+def _own_words(counts: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
+    """w of the network's words: IDS rows at most."""
+    return F.broadcast(counts.sparkSession.createDataFrame([(bytearray(w),) for w in vocab], "w binary"))
+
+
 def bucket_sums(counts: DataFrame, vocab: dict[bytes, int]) -> np.ndarray:
     """Occurrences of all words of each bucket."""
-    own = counts.sparkSession.createDataFrame([(bytearray(w),) for w in vocab], "w binary")
-    rest = counts.join(F.broadcast(own), "w", "left_anti").groupBy((F.crc32("w") % BUCKETS).alias("b")).agg(F.sum("n").alias("n"))
+    rest = counts.join(_own_words(counts, vocab), "w", "left_anti").groupBy((F.crc32("w") % BUCKETS).alias("b")).agg(F.sum("n").alias("n"))
     sums = np.zeros(BUCKETS, dtype=np.int64)
     for r in rest.collect():  # BUCKETS rows at most
         sums[r["b"]] = r["n"]
@@ -91,167 +145,210 @@ def initial() -> list[np.ndarray]:
     return [normal(IDS + 1, DIM), normal(2 * WINDOW * DIM, HIDDEN), np.zeros(HIDDEN, np.float32), normal(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32), normal(CLASSES, HIDDEN, MEMBERS), np.zeros((CLASSES, MEMBERS), np.float32)]
 
 
-def _contexts(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([stream[at + d] for d in range(-WINDOW, WINDOW + 1) if d], axis=1)
+def _steep(w: list[np.ndarray]) -> bool:
+    """Whether some output may be so large that its exponential needs care; hidden values lie in [-1, 1]."""
+    return max(float((np.abs(w[3]).sum(axis=0) + np.abs(w[4])).max()), float((np.abs(w[5]).sum(axis=1) + np.abs(w[6])).max())) > 60
+
+
+def _hidden(w: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = w[0].take(ctx.ravel(), axis=0).reshape(len(ctx), -1)
+    h = x @ w[1]
+    h += w[2]
+    return x, np.tanh(h, out=h)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _outputs(w: list[np.ndarray], h: np.ndarray, cls: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Outputs for classes and for the members of cls (ascending), and the runs (class, from, to) of cls."""
+    z, y = h @ w[3], w[6].take(cls, axis=0)
+    z += w[4]
+    first, last = int(cls[0]), int(cls[-1])
+    cuts = np.searchsorted(cls, np.arange(first, last + 2)).tolist()
+    runs = [(first + k, lo, hi) for k, (lo, hi) in enumerate(pairwise(cuts)) if lo < hi]
+    for c, lo, hi in runs:
+        y[lo:hi] += h[lo:hi] @ w[5][c]
+    if steep:
+        z -= z.max(axis=1, keepdims=True)
+        y -= y.max(axis=1, keepdims=True)
+    return z, y, runs
 
 
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if cuts[c] < cuts[c + 1]:
-            yield c, order[cuts[c] : cuts[c + 1]]
+def _sorted_by_class(targets: np.ndarray) -> np.ndarray:
+    return np.argsort((targets // MEMBERS).astype(np.uint8), kind="stable")
 
 
 def log_probabilities(w: list[np.ndarray], ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(target | both sides) for each position."""
-    h = np.tanh(w[0][ctx].reshape(len(ctx), -1) @ w[1] + w[2])
-    cls, mem = target // MEMBERS, target % MEMBERS
-    out = _log_softmax(h @ w[3] + w[4])[np.arange(len(h)), cls]
-    for c, k in _by_class(cls):
-        out[k] += _log_softmax(h[k] @ w[5][c] + w[6][c])[np.arange(len(k)), mem[k]]
+    order, steep, out = _sorted_by_class(target), _steep(w), np.empty(len(target))
+    for lo in range(0, len(order), BLOCK):
+        at = order[lo : lo + BLOCK]
+        cls, mem = np.divmod(target.take(at), MEMBERS)
+        rows = np.arange(len(at))
+        z, y, _ = _outputs(w, _hidden(w, ctx.take(at, axis=0))[1], cls, steep)
+        got = z[rows, cls] + y[rows, mem]
+        for part in (z, y):
+            np.exp(part, out=part)
+            got -= np.log(part @ _ONES[: part.shape[1]])
+        out[at] = got
     return out
 
 
-def train(w: list[np.ndarray], ctx: np.ndarray, target: np.ndarray, memory: list[np.ndarray]) -> None:
-    """One step of Adagrad in place."""
-    x = w[0][ctx].reshape(len(ctx), -1)
-    h = np.tanh(x @ w[1] + w[2])
-    cls, mem, n = target // MEMBERS, target % MEMBERS, np.float32(len(ctx))
-    dz = np.exp(_log_softmax(h @ w[3] + w[4]))
-    dz[np.arange(len(h)), cls] -= 1
-    dz /= n
-    g = [np.zeros_like(p) for p in w]
-    g[3], g[4], dh = h.T @ dz, dz.sum(axis=0), dz @ w[3].T
-    for c, k in _by_class(cls):
-        dm = np.exp(_log_softmax(h[k] @ w[5][c] + w[6][c]))
-        dm[np.arange(len(k)), mem[k]] -= 1
-        dm /= n
-        g[5][c], g[6][c] = h[k].T @ dm, dm.sum(axis=0)
-        dh[k] += dm @ w[5][c].T
-    dh *= 1 - h * h
-    g[1], g[2] = x.T @ dh, dh.sum(axis=0)
-    np.add.at(g[0], ctx.ravel(), (dh @ w[1].T).reshape(-1, DIM))
+def train(w: list[np.ndarray], stream: np.ndarray, at: np.ndarray, memory: list[np.ndarray]) -> None:
+    """One step of Adagrad in place, on the positions at of stream. Gradients are summed over blocks of few classes that fit a core's cache."""
+    at = at.take(_sorted_by_class(stream.take(at)))
+    g, steep = [np.zeros_like(p) for p in w], _steep(w)
+    for lo in range(0, len(at), BLOCK):
+        _add_gradient(w, stream, at[lo : lo + BLOCK], g, steep)
+    scale = np.float32(1 / len(at))
     for p, d, m in zip(w, g, memory, strict=True):
+        d *= scale
         m += d * d
         p -= RATE * d / (np.sqrt(m) + 1e-6)
 
 
-def _stream(texts, vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ids of texts with edges between, the places of words, and each word's text."""
-    parts, owner = [np.full(WINDOW, EDGE)], [np.full(WINDOW, -1)]
-    for k, t in enumerate(texts):
-        ids = _ids(words_of(t), vocab)
-        parts += [ids, np.full(WINDOW, EDGE)]
-        owner += [np.full(len(ids), k), np.full(WINDOW, -1)]
-    stream, own = np.concatenate(parts), np.concatenate(owner)
-    at = np.flatnonzero(own >= 0)
-    return stream, at, own[at]
-
-
-def fit(df: DataFrame, text: str, vocab: dict[bytes, int], every: int = TRAIN_EVERY, rounds: int = ROUNDS) -> list[np.ndarray]:
+def _add_gradient(w: list[np.ndarray], stream: np.ndarray, at: np.ndarray, g: list[np.ndarray], steep: bool) -> None:
+    cls, mem = np.divmod(stream.take(at), MEMBERS)
+    near = stream.take((at[:, None] + _BESIDE).ravel())
+    rows, ones = np.arange(len(at)), _ONES[: len(at)]
+    x, h = _hidden(w, near.reshape(len(at), -1))
+    dz, dm, runs = _outputs(w, h, cls, steep)
+    for p, k in ((dz, cls), (dm, mem)):
+        np.exp(p, out=p)
+        p /= (p @ _ONES[: p.shape[1]])[:, None]
+        p[rows, k] -= 1
+    dh = dz @ w[3].T
+    g[3] += h.T @ dz
+    g[4] += ones @ dz
+    for c, lo, hi in runs:
+        d = dm[lo:hi]
+        g[5][c] += h[lo:hi].T @ d
+        g[6][c] += ones[lo:hi] @ d
+        dh[lo:hi] += d @ w[5][c].T
+    h *= h
+    np.subtract(1, h, out=h)
+    dh *= h
+    g[1] += x.T @ dh
+    g[2] += ones @ dh
+    order = np.argsort(near, kind="stable")
+    near = near.take(order)
+    first = np.flatnonzero(np.concatenate([_TRUE, near[1:] != near[:-1]]))
+    g[0][near.take(first)] += np.add.reduceat((dh @ w[1].T).reshape(-1, DIM).take(order, axis=0), first, axis=0)
+
+
+def _stream(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids of all texts with edges between, the places of words, and each word's text."""
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(ids)) + WINDOW * (own + 1)
+    stream = np.full(len(ids) + WINDOW * (len(sizes) + 1), EDGE, dtype=np.uint16)
+    stream[at] = ids
+    return stream, at, own
+
+
+def _average(rows: list[tuple[int, bytes]]) -> tuple[int, bytes]:
+    n = sum(k for k, _ in rows)
+    mean = sum(np.frombuffer(b, dtype="<f4").astype(np.float64) * (k / n) for k, b in rows)
+    return n, mean.astype("<f4").tobytes()
+
+
+def fit_segments(seg: DataFrame, vocab: dict[bytes, int], epochs: int = EPOCHS) -> list[np.ndarray]:
     weights = initial()
-    docs = df.select(F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
-    if every > 1:
-        docs = docs.where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
-    for _ in range(rounds):
+    work = seg.select("words", "ids", "sizes", "total", "code")
+    for early in [True, False] * epochs:
         shared = weights
 
-        def local(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def local(batches: Iterator[pa.RecordBatch], shared=shared, early=early) -> Iterator[pa.RecordBatch]:
             w, seen = [p.copy() for p in shared], 0
             memory = [np.full_like(p, 1e-3) for p in w]
             for b in batches:
-                stream, at, _ = _stream((t.as_py() for t in b.column(0)), vocab)
-                order = np.random.default_rng(SEED).permutation(at)
-                for lo in range(0, len(order), BATCH):
-                    part = order[lo : lo + BATCH]
-                    train(w, _contexts(stream, part), stream[part], memory)
-                seen += len(at)
+                for s in _decode(b):
+                    stream, at, own = _stream(_ids(s["words"], vocab).take(s["code"]), s["sizes"])
+                    at = at[(own % EARLY == 0) == early]
+                    np.random.default_rng(SEED).shuffle(at)
+                    lo = 0
+                    while lo < len(at):
+                        hi = lo + min(max(seen // GROW, STEP_MIN), STEP_MAX)
+                        train(w, stream, at[lo:hi], memory)
+                        seen += len(at[lo:hi])
+                        lo = hi
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([np.concatenate([p.ravel() for p in w]).astype("<f4").tobytes()], pa.binary())], names=["n", "w"])
 
-        def average(pdf: pd.DataFrame) -> pd.DataFrame:
-            n = pdf["n"].sum()
-            mean = sum(np.frombuffer(b, dtype="<f4").astype(np.float64) * (k / n) for k, b in zip(pdf["n"], pdf["w"], strict=True))
-            return pd.DataFrame({"n": [n], "w": [mean.astype("<f4").tobytes()]})
-
-        copies = docs.mapInArrow(local, "n long, w binary").withColumn("branch", F.spark_partition_id() % BRANCH)
-        copies = copies.groupBy("branch").applyInPandas(average, "n long, w binary").withColumn("branch", F.lit(0)).groupBy("branch").applyInPandas(average, "n long, w binary")
-        got = copies.collect()  # one row
-        if not got:
-            break
-        flat, weights, lo = np.frombuffer(got[0]["w"], dtype="<f4"), [], 0
-        for p in shared:
-            weights.append(flat[lo : lo + p.size].reshape(p.shape).copy())
-            lo += p.size
+        got = tree_fold(work.mapInArrow(local, "n long, w binary"), "n long, w binary", _average).collect()  # one row
+        if got:
+            flat, weights, lo = np.frombuffer(got[0]["w"], dtype="<f4"), [], 0
+            for p in shared:
+                weights.append(flat[lo : lo + p.size].reshape(p.shape).copy())
+                lo += p.size
     return weights
 
 
-def score(df: DataFrame, id_col: str, text: str, vocab: dict[bytes, int], weights: list[np.ndarray]) -> DataFrame:
-    """id, n_words, log_prob, score per row, where a word of a bucket counts as its bucket."""
+def fit(df: DataFrame, text: str, vocab: dict[bytes, int], every: int = TRAIN_EVERY, rounds: int = EPOCHS) -> list[np.ndarray]:
+    """Weights after so many passes over the texts of df whose hash divides by every (1: all)."""
+    docs = df.select(F.col(f"`{text}`").alias("t"), F.lit(0).alias("id")).where("t IS NOT NULL")
+    if every > 1:
+        docs = docs.where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
+    return fit_segments(_numbered(segments(docs, "id", "t")), vocab, rounds)
+
+
+def _score(seg: DataFrame, id_kind: str, vocab: dict[bytes, int], weights: list[np.ndarray], base: np.ndarray | None) -> DataFrame:
+    """id, n_words, log_prob, score per row of the segments. base: sums of buckets, for words given by their share (own: logarithms of counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
-                stream, at, own = _stream((t.as_py() for t in part.column(1)), vocab)
-                logp = np.zeros(len(at))
-                for k in range(0, len(at), 16384):
-                    p = at[k : k + 16384]
-                    logp[k : k + 16384] = log_probabilities(weights, _contexts(stream, p), stream[p])
-                n = np.bincount(own, minlength=part.num_rows)
-                total = np.bincount(own, weights=logp, minlength=part.num_rows)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), mean], names=["id", "n_words", "log_prob", "score"])
+            for s in _decode(b):
+                ids, sizes = _ids(s["words"], vocab), s["sizes"]
+                share = np.zeros(len(ids))
+                if base is not None:
+                    far = ids >= IDS - BUCKETS
+                    share[far] = -np.log(base)[ids[far] - (IDS - BUCKETS)]
+                    if s["own"]:
+                        share += np.frombuffer(s["own"])
+                stream, at, own = _stream(ids.take(s["code"]), sizes)
+                total = np.bincount(own, weights=share.take(s["code"]), minlength=len(sizes))
+                for lo in range(0, len(at), SLICE):
+                    p = at[lo : lo + SLICE]
+                    logp = log_probabilities(weights, stream.take((p[:, None] + _BESIDE).ravel()).reshape(len(p), -1), stream.take(p))
+                    k = own[lo : lo + SLICE]
+                    total[k[0] : k[-1] + 1] += np.bincount(k - k[0], weights=logp, minlength=k[-1] - k[0] + 1)
+                for lo in range(0, len(sizes), 10_000):
+                    n, t = sizes[lo : lo + 10_000], total[lo : lo + 10_000]
+                    yield pa.RecordBatch.from_arrays([s["ids"].slice(lo, len(n)), pa.array(n), pa.array(t), pa.array(t / np.maximum(n, 1), mask=n == 0)], names=["id", "n_words", "log_prob", "score"])
+
+    return seg.mapInArrow(run, f"id {id_kind}, n_words long, log_prob double, score double")
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"id {kind}, n_words long, log_prob double, score double")
 
+def score(df: DataFrame, id_col: str, text: str, vocab: dict[bytes, int], weights: list[np.ndarray]) -> DataFrame:
+    """id, n_words, log_prob, score per row, where a word of a bucket counts as its bucket."""
+    return _score(segments(df, id_col, text), df.schema[id_col].dataType.simpleString(), vocab, weights, None)
 
-def score_words(df: DataFrame, id_col: str, text: str, counts: DataFrame, vocab: dict[bytes, int], weights: list[np.ndarray]) -> DataFrame:
-    """id, n_words, log_prob, score per row, where a word of a bucket has its share of it by counts (w, n; staged)."""
+
+def score_segments(seg: DataFrame, id_kind: str, counts: DataFrame, vocab: dict[bytes, int], weights: list[np.ndarray]) -> DataFrame:
+    """id, n_words, log_prob, score per row of staged segments, where a word of a bucket has its share of it by counts (w, n)."""
     base = bucket_sums(counts, vocab) + 1  # one for all words not counted
+    words = seg.select("seg", F.size("words").alias("size"), F.posexplode("words").alias("pos", "w")).join(_own_words(counts, vocab), "w", "left_anti")
+    known = words.join(counts, "w").select("seg", "size", "pos", F.log("n").alias("own"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = np.log(base)
-        for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
-                texts = part.column(1).to_pylist()
-                stream, at, own = _stream(texts, vocab)
-                logp, target = np.zeros(len(at)), stream[at]
-                for k in range(0, len(at), 16384):
-                    p = at[k : k + 16384]
-                    logp[k : k + 16384] = log_probabilities(weights, _contexts(stream, p), stream[p])
-                far = target >= IDS - BUCKETS
-                logp[far] -= whole[target[far] - (IDS - BUCKETS)]
-                n = np.bincount(own, minlength=part.num_rows)
-                total = np.bincount(own, weights=logp, minlength=part.num_rows)
-                rest = [Counter([w for w in words_of(t) if w not in vocab]) for t in texts]
-                words = pa.StructArray.from_arrays([pa.array([w for c in rest for w in c], pa.binary()), pa.array([k for c in rest for k in c.values()], pa.int64())], names=["w", "k"])
-                ends = pa.array(np.cumsum([0, *map(len, rest)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), pa.ListArray.from_arrays(ends, words)], names=["id", "n_words", "part", "rest"])
+    def pack(rows: pa.Table) -> pa.Table:
+        own = np.zeros(rows.column("size")[0].as_py())
+        own[rows.column("pos").to_numpy()] = rows.column("own").to_numpy()
+        return pa.table({"of": rows.column("seg").slice(0, 1), "own": pa.array([own.tobytes()], pa.binary())})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"id {kind}, n_words long, part double, rest array<struct<w:binary,k:long>>")
-    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "rows")  # written once: its numbers stay
-    words = rows.select("row", F.explode("rest").alias("x")).select("row", "x.w", "x.k")
-    logs = words.join(counts, "w", "left").groupBy("row").agg(F.sum(F.col("k") * F.log(F.coalesce("n", F.lit(1)))).alias("own"))
-    log_prob = F.col("part") + F.coalesce("own", F.lit(0.0))
-    return rows.drop("rest").join(logs, "row", "left").select("id", "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).alias("score"))
+    packed = known.groupBy("seg").applyInArrow(pack, "of long, own binary")  # a segment's distinct words: bounded
+    both = seg.join(packed, F.col("seg") == F.col("of"), "left").select("words", "ids", "sizes", "total", "code", "own")
+    return _score(both, id_kind, vocab, weights, base)
+
+
+def score_words(df: DataFrame, id_col: str, text: str, counts: DataFrame, vocab: dict[bytes, int], weights: list[np.ndarray]) -> DataFrame:
+    """id, n_words, log_prob, score per row, where a word of a bucket has its share of it by counts (w, n; staged)."""
+    return score_segments(_numbered(segments(df, id_col, text)), df.schema[id_col].dataType.simpleString(), counts, vocab, weights)
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every document."""
     docs = table(spark, sf_dir, "documents")
-    counts = stage(word_counts(docs, "text"), "words")
+    seg = _numbered(segments(docs, "doc_id", "text"))
+    counts = stage(counts_of(seg), "words")
     vocab = head(counts)
-    return score_words(docs, "doc_id", "text", counts, vocab, fit(docs, "text", vocab)).withColumnRenamed("id", "doc_id")
+    return score_segments(seg, docs.schema["doc_id"].dataType.simpleString(), counts, vocab, fit_segments(seg, vocab)).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"op6_lm_scoring": op6_lm_scoring}

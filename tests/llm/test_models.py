@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from arborwell.llm import lm_scoring, quality, simhash
+from arborwell.llm.common import stage
 
 SF = "/root/testdata/sf0.1"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -83,7 +84,7 @@ def test_lm_every_word_has_its_own_probability(spark, sf):
     by = {r["doc_id"]: r for r in rows}
     assert len(rows) == len(texts) + 2 and by[None]["n_words"] == 0 and by[None]["score"] is None and by[None]["log_prob"] == 0
     assert by[7]["log_prob"] - by[6]["log_prob"] == pytest.approx(np.log(3), abs=1e-6)  # often stands three times, rare once
-    counts = lm_scoring.word_counts(docs, "text").localCheckpoint()
+    counts = stage(lm_scoring.word_counts(docs, "text"), "words")
     vocab, w = lm_scoring.head(counts), lm_scoring.initial()
     sums = lm_scoring.bucket_sums(counts, vocab)
     n = {bytes(r["w"]): r["n"] for r in counts.collect()}
