@@ -73,14 +73,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scan(values: Column, zero: Column, step) -> Column:
-    """Inclusive running fold of an array (step must be associative, zero neutral), in time linear in its size."""
+def scan(values: Column, zero: Column, step, kind: str = "bigint") -> Column:
+    """Inclusive running fold of an array of kind (step must be associative, zero neutral), in time linear in its size."""
     n_blocks = F.ceil(F.size(values) / F.lit(SCAN_BLOCK)).cast("int")
     blocks = F.transform(
         F.when(n_blocks > 0, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array().cast("array<int>")),
         lambda b: F.slice(values, b * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)),
     )
-    start = F.struct(zero.alias("s"), F.array().cast("array<bigint>").alias("a"))
+    start = F.struct(zero.alias("s"), F.array().cast(f"array<{kind}>").alias("a"))
 
     def add(acc: Column, x: Column) -> Column:
         s = step(acc["s"], x)
@@ -89,7 +89,7 @@ def scan(values: Column, zero: Column, step) -> Column:
     inner = F.transform(blocks, lambda b: F.aggregate(b, start, add))
     outer = F.aggregate(
         inner,
-        F.struct(zero.alias("s"), F.array().cast("array<array<bigint>>").alias("a")),
+        F.struct(zero.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("a")),
         lambda acc, b: F.struct(
             step(acc["s"], b["s"]).alias("s"),
             F.concat(acc["a"], F.array(F.transform(b["a"], lambda v: step(acc["s"], v)))).alias("a"),

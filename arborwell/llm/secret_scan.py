@@ -3,12 +3,12 @@
 Native: every step is a DataFrame function on one row, so there is no shuffle and no key that could be hot.
 
 Strong kinds are reported wherever they stand: assign, access, hex. Weak kinds are parts of a multipart credential:
-cred (a short or loosely named secret, or a long unnamed token beside an access id), ident (who logs in) and endpoint (where). The parts of a text are sorted by
-start and interval-joined within a scope of SCOPE code points, from the end of one part to the start of the next, by a
-sweep: a running maximum of ends gives each part the nearest earlier part of every class, a running minimum of starts
-from the back the nearest later one. cred is reported with an
-identifier or an endpoint in its scope, ident with a secret, endpoint with both an identifier and a secret. hex counts as
-a secret there. The oracle SQL is older: it knows neither secret keys, unnamed tokens nor hex as a part, and measures from start to start.
+cred (a short or loosely named secret, a bearer, or a long unnamed token beside an access id), ident (who logs in) and endpoint (where). The parts of a
+text are sorted by start and interval-joined within a scope of SCOPE code points, from the end of one part to the start of
+the next, by a sweep: a running maximum of ends gives each part the nearest earlier part of every class, a running minimum of
+starts from the back the nearest later one. cred is reported with an identifier or an endpoint in its scope, ident with a
+secret, endpoint with both an identifier and a secret; assign and hex count as secrets there. An access key's name after "secret" is no
+identifier. Every pattern and every sweep takes time linear in the text.
 
 Null text counts as empty: no spans. Nulls elsewhere, repeated rows and extra columns pass through; an empty table
 gives an empty result. Texts are read whole. Spans that start together are ordered by kind.
@@ -28,12 +28,26 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # a run of 18 or more holds its first AKIA: the same spans as AKIA[A-Z0-9]+ of 18+
 HEX = r"[0-9a-f]{16,}"
-#: Weak kinds.
-CRED = r"""([Pp][Ww][Dd]|[Pp]assphrase|[Cc]redential|[Pp]rivate_?[Kk]ey|[Ss]ecret_?([Aa]ccess_?)?[Kk]ey|SECRET_?(ACCESS_?)?KEY)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""
-IDENT = r"""([Uu]ser(name|_?id)?|USER(NAME|_?ID)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii]d|(?<![Ss]ecret_?)[Aa]ccess_?[Kk]ey(_?[Ii]d)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
-#: A long unnamed token of letters in both cases; a part only beside an access id.
-TOKEN = r"""(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}={0,2}"""
-ENDPOINT = r"""([a-z][a-z0-9+]*://[A-Za-z0-9._~:@/?#%&=+-]+|([Hh]ost(name)?|HOST(NAME)?|[Ee]ndpoint|[Ss]erver)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,})"""
+
+
+def _either(name: str) -> str:
+    """A pattern of name with its ASCII letters in either case; other signs are pattern signs."""
+    return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in name)
+
+
+_SAYS = r"""["']?\x20*[:=]\x20*["']?"""
+_NAMES = {
+    "cred": ["pwd", "passphrase", "credential", "private_?key", "secret_?(access_?)?key", "auth_?key"],
+    "ident": ["user(name|_?id)?", "login", "account", "client_?id", "(secret_?)?access_?key(_?id)?"],
+    "endpoint": ["host(name)?", "endpoint", "server"],
+}
+#: Weak kinds. No part of a pattern can run over a text again and again, so a scan is linear in it.
+CRED = f"(({'|'.join(map(_either, _NAMES['cred']))}){_SAYS}[A-Za-z0-9+/_.=-]{{6,}}|{_either('bearer')}\\x20+[A-Za-z0-9+/_.=-]{{16,}})"
+IDENT = f"({'|'.join(map(_either, _NAMES['ident']))}){_SAYS}[A-Za-z0-9_.@+-]{{3,}}"
+SECRET_KEY = f"^{_either('secret')}"  # an ident that starts so is the name of a secret, not of who logs in
+ENDPOINT = f"([a-z][a-z0-9+]{{0,15}}://[A-Za-z0-9._~:@/?#%&=+-]+|({'|'.join(map(_either, _NAMES['endpoint']))}){_SAYS}[A-Za-z0-9.-]{{4,}})"
+#: A long unnamed run with letters in both cases; a part only beside an access id.
+TOKEN = r"[A-Za-z0-9+/_.=-]{32,}"
 ASSIGN_MIN, CRED_MIN, SCOPE = 12, 6, 200
 #: Kinds in their order.
 KINDS = ["assign", "access", "hex", "cred", "ident", "endpoint"]
@@ -61,7 +75,12 @@ def find_spans(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
     work = df.select(keep.alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     none_hits = F.array().cast("array<struct<t:string,gap:bigint>>")
     patterns = [ASSIGN, ACCESS, HEX, CRED, IDENT, ENDPOINT, TOKEN]
-    has = [F.col("_t").rlike(p) for p in patterns]
+    # what a match cannot do without is looked for first: that is much cheaper than a pattern
+    said = F.contains("_t", F.lit("=")) | F.contains("_t", F.lit(":"))
+    bearer = F.contains(F.lower("_t"), F.lit("bearer "))
+    access = F.contains("_t", F.lit("AKIA"))
+    needs = [said, access, F.lit(True), said | bearer, said, said, access]
+    has = [n & F.col("_t").rlike(p) for n, p in zip(needs, patterns, strict=True)]
     has[6] = has[1] & has[6]
     work = work.select("_row", *[F.when(has[k], _hits(F.col("_t"), p)).otherwise(none_hits).alias(f"_h{k}") for k, p in enumerate(patterns)])
     none_ends = F.array().cast("array<bigint>")
@@ -80,38 +99,41 @@ def find_spans(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
 
         return F.transform(F.filter(F.col("_s0"), ok), lambda s: F.struct(s["start"], F.lit(kind).alias("kind"), s["end"]))
 
-    def bare(k: int) -> Column:
-        return F.transform(F.col(f"_s{k}"), lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    def bare(k: int, ok=None) -> Column:
+        some = F.filter(F.col(f"_s{k}"), lambda s: ok(s["t"])) if ok else F.col(f"_s{k}")
+        return F.transform(some, lambda s: F.struct(s["start"], s["kind"], s["end"]))
 
     work = work.select(
         "_row",
         F.concat(assigned(ASSIGN_MIN, _FAR, 0), bare(1), bare(2)).alias("_base"),
-        F.concat(assigned(CRED_MIN, ASSIGN_MIN, 3), bare(3), bare(4), bare(5)).alias("_weak"),
-        bare(6).alias("_tokens"),
+        F.concat(assigned(CRED_MIN, ASSIGN_MIN, 3), bare(3), bare(4, lambda t: ~t.rlike(SECRET_KEY)), bare(5)).alias("_weak"),
+        bare(6, lambda t: t.rlike("[A-Z]") & t.rlike("[a-z]")).alias("_tokens"),
     )
     none_parts = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
 
-    def nearest(kinds: tuple[int, ...], back: bool) -> Column:
+    def nearest(classes: dict[str, tuple[int, ...]], back: bool) -> Column:
+        """For each part, the nearest end of an earlier part of each class, or (back) the nearest start of a later one; a part is its own neighbour."""
         p = F.reverse(F.col("_parts")) if back else F.col("_parts")
-        far = F.lit(_FAR if back else -_FAR).cast("long")
-        at = F.transform(p, lambda s: F.when(s["kind"].isin(*kinds), s["start"] if back else s["end"]).otherwise(far))
-        run = scan(at, far, F.least if back else F.greatest)
-        return F.when(F.size("_parts") > 0, F.reverse(run) if back else run).otherwise(none_ends)
+        far, step = F.lit(_FAR if back else -_FAR).cast("long"), F.least if back else F.greatest
+        at = F.transform(p, lambda s: F.struct(*[F.when(s["kind"].isin(*kinds), s["start"] if back else s["end"]).otherwise(far).alias(c) for c, kinds in classes.items()]))
+        kind = f"struct<{','.join(f'{c}:bigint' for c in classes)}>"
+        run = scan(at, F.struct(*[far.alias(c) for c in classes]), lambda a, b: F.struct(*[step(a[c], b[c]).alias(c) for c in classes]), kind)
+        return F.when(F.size("_parts") > 0, F.reverse(run) if back else run).otherwise(F.array().cast(f"array<{kind}>"))
 
     def near(s: Column, i: Column, c: str) -> Column:
-        return (s["start"] - F.get(F.col(f"_{c}0"), i) <= SCOPE) | (F.get(F.col(f"_{c}1"), i) - s["end"] <= SCOPE)
+        return (s["start"] - F.get(F.col("_back"), i)[c] <= SCOPE) | (F.get(F.col("_ahead"), i)[c] - s["end"] <= SCOPE)
 
     # tokens beside an access id become parts of kind cred
     access = F.filter(F.col("_base"), lambda s: s["kind"] == 1)
     work = work.select("_row", "_base", "_weak", F.when(F.size("_tokens") > 0, F.array_sort(F.concat(access, "_tokens"))).otherwise(none_parts).alias("_parts"))
-    work = work.select("*", nearest((1,), False).alias("_id0"), nearest((1,), True).alias("_id1"))
+    work = work.select("*", nearest({"id": (1,)}, False).alias("_back"), nearest({"id": (1,)}, True).alias("_ahead"))
     tokens = F.filter(F.col("_parts"), lambda s, i: (s["kind"] == 6) & near(s, i, "id"))
     weak = F.concat("_weak", F.transform(tokens, lambda s: F.struct(s["start"], F.lit(3).alias("kind"), s["end"])))
     work = work.select("_row", "_base", weak.alias("_weak"))
     # the sweep runs only where there is a weak part
     work = work.select("_row", "_base", F.when(F.size("_weak") > 0, F.array_sort(F.concat("_base", "_weak"))).otherwise(none_parts).alias("_parts"))
     classes = {"sec": (0, 2, 3), "who": (1, 4), "end": (5,)}
-    work = work.select("_row", "_base", "_parts", *[nearest(k, b).alias(f"_{c}{int(b)}") for c, k in classes.items() for b in (False, True)])
+    work = work.select("_row", "_base", "_parts", nearest(classes, False).alias("_back"), nearest(classes, True).alias("_ahead"))
 
     def kept(s: Column, i: Column) -> Column:
         return (
@@ -172,11 +194,6 @@ def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
     )
 
 
-#: Weak kinds as the SQL has them.
-_SQL_CRED = r"""([Pp][Ww][Dd]|[Pp]assphrase|[Cc]redential|[Pp]rivate_?[Kk]ey)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""
-_SQL_IDENT = r"""([Uu]ser(name|_?id)?|USER(NAME|_?ID)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii]d|[Aa]ccess_?[Kk]ey(_?[Ii]d)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
-
-
 def _sql_hits(kind: int, pattern: str, extra: str = "TRUE") -> str:
     p = pattern.replace("'", "''")
     return f"""SELECT r, {kind} AS kind, t, e - length(t) AS s, e FROM (
@@ -190,16 +207,19 @@ def _sql() -> str:
     names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
     a = ASSIGN.replace("'", "''")
     value = f"length(regexp_extract(t, '{a}', 2))"
-    near = lambda kinds: f"sum((kind IN ({kinds}))::INT) OVER (PARTITION BY r ORDER BY s RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)"
+    close = f"p.s - q.e <= {SCOPE} AND q.s - p.e <= {SCOPE}"
     return f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     strong AS ({_sql_hits(0, ASSIGN, f"{value} >= {ASSIGN_MIN}")} UNION ALL {_sql_hits(1, ACCESS)} UNION ALL {_sql_hits(2, HEX)}),
-    weak AS ({_sql_hits(3, ASSIGN, f"{value} >= {CRED_MIN} AND {value} < {ASSIGN_MIN}")} UNION ALL {_sql_hits(3, _SQL_CRED)}
-             UNION ALL {_sql_hits(4, _SQL_IDENT)} UNION ALL {_sql_hits(5, ENDPOINT)}),
-    near AS (SELECT r, kind, s, e, {near("0, 3")} AS sec, {near("1, 4")} AS who, {near("5")} AS wher
-             FROM (SELECT * FROM strong WHERE kind < 2 UNION ALL SELECT * FROM weak)),
+    tokens AS ({_sql_hits(3, TOKEN, "regexp_matches(t, '[A-Z]') AND regexp_matches(t, '[a-z]')")}),
+    weak AS ({_sql_hits(3, ASSIGN, f"{value} >= {CRED_MIN} AND {value} < {ASSIGN_MIN}")} UNION ALL {_sql_hits(3, CRED)}
+             UNION ALL {_sql_hits(4, IDENT, f"NOT regexp_matches(t, '{SECRET_KEY}')")} UNION ALL {_sql_hits(5, ENDPOINT)}
+             UNION ALL SELECT * FROM tokens p WHERE EXISTS (SELECT 1 FROM strong q WHERE q.r = p.r AND q.kind = 1 AND {close})),
+    parts AS (SELECT r, kind, s, e FROM strong UNION ALL SELECT r, kind, s, e FROM weak),
+    near AS (SELECT p.r, p.kind, p.s, p.e, coalesce(bool_or(q.kind IN (0, 2, 3)), FALSE) AS sec, coalesce(bool_or(q.kind IN (1, 4)), FALSE) AS who, coalesce(bool_or(q.kind = 5), FALSE) AS wher
+             FROM (SELECT *, row_number() OVER () AS k FROM weak) p LEFT JOIN parts q ON p.r = q.r AND {close} GROUP BY p.k, p.r, p.kind, p.s, p.e),
     spans AS (SELECT r, kind, s, e FROM strong UNION ALL
-              SELECT r, kind, s, e FROM near WHERE (kind = 3 AND (who > 0 OR wher > 0)) OR (kind = 4 AND sec > 0) OR (kind = 5 AND who > 0 AND sec > 0)),
+              SELECT r, kind, s, e FROM near WHERE (kind = 3 AND (who OR wher)) OR (kind = 4 AND sec) OR (kind = 5 AND who AND sec)),
     t AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
                  string_agg(({names})[kind + 1] || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base,
                  string_agg(({names})[kind + 1] || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, kind, e) AS spans
