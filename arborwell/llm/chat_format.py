@@ -8,8 +8,8 @@ Native. A log has one row per event: conversation, message number, sequence, kin
 
 Events of a message are folded in order of sequence (ties by kind, role, text): everything before the last edit or
 regenerate falls away, the rest is joined. A message's role is that of its last event that has one, else empty.
-Folding is by (conversation, message), so one long conversation is spread; only finished messages meet in
-the last group, which is one row of output.
+A log is dealt by conversation once; folding, rendering and reading back follow in the same stage, so a text moves once. A
+conversation is one row of output, so one conversation's events meet in one task.
 
 Rendering: `<turn>### role:\n` text `\n</turn>\n`. Inside texts a backslash stands before every backslash, `###`,
 `<turn` and `</turn`, which reading takes off again; in roles % and newline are written %25 and %0A. loss_spans are
@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAD, MID, TAIL = "<turn>### ", ":\n", "\n</turn>\n"
+#: Characters of a streamed delta and of a draft in as_log().
+DELTA, DRAFT = 2048, 16
 CONTROL = r"(\\|###|</?turn)"
 
 
@@ -42,26 +44,26 @@ def fold_events(events: DataFrame, conv: str = "conv_id", msg: str = "msg", seq:
         F.col(f"`{conv}`").alias("conv"), F.col(f"`{msg}`").alias("msg"),
         F.struct(F.col(f"`{seq}`").alias("seq"), F.coalesce(F.col(f"`{kind}`"), F.lit("delta")).alias("kind"), F.col(f"`{role}`").alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).alias("e"),
     )
-    same = Window.partitionBy("conv", "msg")
-    reset = F.max(F.when(F.col("e.kind") != "delta", F.col("e"))).over(same)
-    e = e.withColumn("reset", reset)
-    e = e.withColumn("live", F.col("reset").isNull() | (F.col("e") >= F.col("reset")))
-    parts = F.array_sort(F.collect_list(F.when(F.col("live"), F.struct("e.seq", "e.kind", "e.role", "e.text"))))
-    last_role = F.max_by("e.role", F.when(F.col("e.role").isNotNull(), F.col("e")))
-    return e.groupBy("conv", "msg").agg(
-        F.coalesce(last_role, F.lit("")).alias("role"),
-        F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"),
-    )
+    e = e.repartition("conv").groupBy("conv", "msg").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    resets = F.transform("e", lambda x, i: F.when(x["kind"] != "delta", i).otherwise(F.lit(0)))
+    live = F.slice("e", F.array_max(resets) + 1, F.size("e"))
+    roles = F.filter(F.transform("e", lambda x: x["role"]), lambda r: r.isNotNull())
+    return e.select(
+        "conv", "msg",
+        F.coalesce(F.element_at(F.concat(F.array(F.lit("")), roles), -1), F.lit("")).alias("role"),
+        F.array_join(F.transform(live, lambda x: x["text"]), "").alias("text"),
+    )
 
 
-def render(messages: DataFrame) -> DataFrame:
-    """One row per conversation: conv, formatted, turns array<struct<start, loss_start, loss_end>> in code points; the loss pair is null off the mask."""
+def render(messages: DataFrame, order: tuple[str, ...] = ("msg",)) -> DataFrame:
+    """One row per conversation, its messages by order: conv, formatted, turns array<struct<start, loss_start, loss_end>> in code points; the loss pair is null off the mask."""
     coded = F.replace(F.replace(F.col("role"), F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A"))
     head, body = F.concat(F.lit(HEAD), coded, F.lit(MID)), escape(F.col("text"))
-    m = messages.select("conv", "msg", "role", head.alias("head"), body.alias("body"))
+    place = F.row_number().over(Window.partitionBy("conv").orderBy(*order))
+    m = messages.select("conv", "role", head.alias("head"), body.alias("body"), place.alias("place"))
     m = m.withColumn("n", F.length("head") + F.length("body") + F.lit(len(TAIL)))
-    order = Window.partitionBy("conv").orderBy("msg").rowsBetween(Window.unboundedPreceding, -1)
-    m = m.withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0)).cast("long"))
+    before = Window.partitionBy("conv").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
     at = F.col("start") + F.length("head")
     on = F.col("role") == "assistant"
     turn = F.struct("start", F.when(on, at).alias("loss_start"), F.when(on, at + F.length("body")).alias("loss_end"), F.concat("head", "body", F.lit(TAIL)).alias("t"))
@@ -88,20 +90,35 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return f.select("conv", "formatted", F.transform("pieces", turn).alias("read"), F.array_join(F.transform(masked, unescape), "").alias("loss_text"))
 
 
+def as_log(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """The log of finished rows: a draft that a regeneration (assistant) or an edit (others) throws away, then the text as streamed deltas.
+
+    Rows that share a turn are messages of their own, in order of role and text.
+    """
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    r = F.coalesce(F.col(f"`{role}`"), F.lit(""))
+    msg = F.struct(F.col(f"`{turn}`").alias("turn"), r.alias("role"), F.monotonically_increasing_id().alias("row"))
+
+    def event(seq: Column, kind: Column, text: Column) -> Column:
+        return F.struct(seq.cast("long").alias("seq"), kind.alias("kind"), text.alias("text"))
+
+    start = F.when(r == "assistant", F.lit("regenerate")).otherwise(F.lit("edit"))
+    deltas = F.transform(F.sequence(F.lit(0), F.floor(F.length(t) / DELTA).cast("int")), lambda k: event(k + 2, F.lit("delta"), F.substring(t, k * DELTA + 1, F.lit(DELTA))))
+    events = F.concat(F.array(event(F.lit(0), F.lit("delta"), F.substring(t, 1, DRAFT)), event(F.lit(1), start, F.lit(""))), deltas)
+    e = rows.select(F.col(f"`{conv}`").alias("conv_id"), msg.alias("msg"), r.alias("role"), events.alias("events"))  # a row's number before it becomes several
+    e = e.select("conv_id", "msg", "role", F.explode("events").alias("e"))
+    return e.select("conv_id", "msg", "e.seq", "e.kind", "role", "e.text")
+
+
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -7, formatted and read back. Each row is one delta event of its own message."""
+    """All conversations and conversation -7, from a log of drafts, regenerations, edits and deltas, formatted and read back."""
     from .common import table
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "\\### Assistant: </turn> ok"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
-    rows = rows.unionByName(more)
-    # rows that share a turn are messages of their own, by role and text; equal ones are told apart by a count
-    key = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    again = rows.groupBy("conv_id", key.alias("k")).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    events = again.select("conv_id", F.col("k"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    events = events.select("conv_id", F.struct("k", "i").alias("msg"), F.col("k.turn").alias("seq"), F.lit("delta").alias("kind"), F.col("k.role").alias("role"), F.col("k.text").alias("text"))
-    out = read_back(render(fold_events(events)))
+    messages = fold_events(as_log(rows.unionByName(more), "conv_id", "turn", "role", "text"))
+    out = read_back(render(messages, ("msg.turn", "msg.role", "text", "msg.row")))
     said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         F.col("conv").alias("conv_id"),
