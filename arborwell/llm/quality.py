@@ -2,7 +2,7 @@
 
 Statistics of whole texts are standardised and mapped to cosines of random projections (a Gaussian kernel) beside the
 statistics themselves. Each partition sums its part of the normal equations, for three folds apart; the sums meet
-in a tree and the driver solves one bounded system. Scores of each fold under the solution of the other two are
+in a tree of fixed fan-in and the driver solves one bounded system. Scores of each fold under the solution of the other two are
 averaged in bins, and pooling adjacent violators makes the calibration, joined by straight lines. All labelled
 rows outside the held-out quarter are used; nothing is sampled.
 
@@ -23,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_worker_cache, stage
+from .common import drop_worker_cache, stage, tree_fold
 
 FEATURES, RIDGE, FOLDS, BINS, SEED, THRESHOLD, HELD_OUT = 256, 1e-3, 3, 400, 11, 0.7, 2
-BRANCH = 64  # partial sums that meet in one task, at most about the partitions divided by this
 STATS = 26
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[list(range(97, 123))] = 1  # lower case
@@ -127,22 +126,17 @@ def fit(stats: DataFrame, labels: DataFrame) -> dict:
             for f in range(FOLDS):
                 part = phi[pdf["fold"].to_numpy() == f]
                 a[f] += part.T @ part
-        yield pd.DataFrame({"fold": range(FOLDS), "a": [m[np.triu_indices(size)].tobytes() for m in a]})
+        yield pd.DataFrame({"a": [np.stack([m[np.triu_indices(size)] for m in a]).tobytes()]})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b) for b in pdf["a"])
-        return pd.DataFrame({"fold": pdf["fold"].iloc[:1], "a": [total.tobytes()]})
+    def add(rows: list[tuple[bytes]]) -> tuple[bytes]:
+        return (sum(np.frombuffer(r[0]) for r in rows).tobytes(),)
 
-    parts = train.mapInPandas(sums, "fold int, a binary").withColumn("branch", F.spark_partition_id() % BRANCH)
-    for keys in (["fold", "branch"], ["fold"]):
-        parts = parts.groupBy(*keys).applyInPandas(add, "fold int, a binary")
-        if "branch" in keys:
-            parts = parts.withColumn("branch", F.lit(0))
     folds = np.zeros((FOLDS, size, size))
-    for r in parts.collect():  # FOLDS rows
-        a = np.zeros((size, size))
-        a[np.triu_indices(size)] = np.frombuffer(r["a"])
-        folds[r["fold"]] = a + np.triu(a, 1).T
+    for r in tree_fold(train.mapInPandas(sums, "a binary"), "a binary", add).collect():  # one row
+        for f, part in enumerate(np.frombuffer(r["a"]).reshape(FOLDS, -1)):
+            a = np.zeros((size, size))
+            a[np.triu_indices(size)] = part
+            folds[f] = a + np.triu(a, 1).T
     whole = folds.sum(axis=0)
     n, ones = whole[-2, -2], whole[-2, -1]
     if n == 0 or ones in (0, n):
@@ -181,17 +175,26 @@ def score(stats: DataFrame, model: dict) -> DataFrame:
     return stats.mapInPandas(run, f"id {stats.schema['id'].dataType.simpleString()}, score double")
 
 
-def keep_good(df: DataFrame, text: str, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df whose text scores threshold or more, all columns as they are."""
-    place = df.columns.index(text)
+def keep_good(df: DataFrame, id_col: str, text: str, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df whose text scores threshold or more under a model of labels (id, y), all columns as they are.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_worker_cache()
-        for b in batches:
-            x = np.array([statistics(t.as_py()) for t in b.column(place)]).reshape(-1, STATS)
-            yield b.filter(pa.array(predict(x, model) >= threshold))
+    Statistics are computed once and staged beside their rows; only they, not the texts, go to the scoring step.
+    """
+
+    @F.arrow_udf("array<double>")
+    def stats_of(texts: pa.Array) -> pa.Array:
+        x = np.array([statistics(t.as_py()) for t in texts]).reshape(-1, STATS)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, STATS, dtype=np.int32)), pa.array(x.ravel()))
+
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    both = stage(df.select(row.alias("_aw_row"), stats_of(F.col(f"`{text}`")).alias("_aw_x")), "statistics")
+    model = fit(both.select(F.col(f"_aw_row.`{id_col}`").alias("id"), F.col("_aw_x").alias("x")), labels)
+
+    @F.arrow_udf("double")
+    def score_of(x: pa.Array) -> pa.Array:
+        return pa.array(predict(x.flatten().to_numpy().reshape(-1, STATS), model))
 
-    return df.mapInArrow(run, df.schema)
+    return both.where(score_of("_aw_x") >= threshold).select("_aw_row.*")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -123,9 +123,22 @@ def test_each_stage_of_the_pipeline_takes_effect(spark, tmp_path):
     scores = {r["doc_id"]: r["predicted"] for r in quality.op8_quality(spark, folder).collect()}
     ids = {r["doc_id"] for r in good.select("doc_id").collect()}
     assert ids == {k for k, p in scores.items() if p == 1} and 0 < len(ids) < len(scores)
-    groups = simhash.near_duplicates(good, "doc_id", "text").select("component").distinct()
+    groups = simhash.similar_documents(good, "doc_id", "text").select("component").distinct()
     assert {r[0] for r in groups.collect()} == {r[0] for r in single.select("doc_id").collect()}
     assert single.count() == groups.count()
+    # brute force: no two that stay share nine tenths of their five-word shingles, and who went shares half of them with another
+    shingles = {r["doc_id"]: frozenset(zip(*[(r["text"] or "").lower().split()[k:] for k in range(5)], strict=False)) for r in good.collect()}
+    share = lambda a, b: len(a & b) / max(1, len(a | b))
+    stay = {r[0] for r in single.select("doc_id").collect()}
+    by: dict = {}
+    for i, s in shingles.items():
+        for x in s:
+            by.setdefault(x, set()).add(i)
+    for i, s in shingles.items():
+        others = {j for x in s for j in by[x]} - {i}
+        best = max((share(s, shingles[j]) for j in others), default=0.0)
+        assert i not in stay or all(share(s, shingles[j]) < 0.9 for j in others & stay)
+        assert i in stay or best > 0.5 or len(s) < 2
     before, after = ({r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()} for d in (single, clean))
     assert before.keys() == after.keys()
     key = re.compile("[0-9a-f]{16,}")
