@@ -13,19 +13,24 @@ from arborwell.llm import common, mixing, packing, quality, secret_scan, simhash
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    stats = common.stage(quality.with_statistics(docs, "doc_id", "text"), "statistics")
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are scored like any other, and go or stay together; repeated rows share a score; an empty table stays empty.
+    """
     labels = common.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
-    return quality.keep_good(docs, "text", quality.fit(stats, labels))
+    return quality.keep_good(docs, "doc_id", "text", labels)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the smallest doc_id."""
+    """One document of each group of near-duplicates (shingles of five words, similarity 0.8) stays: the smallest doc_id.
+
+    Null and empty texts are one group; of rows that repeat whole one stays; a null doc_id stays only in a group without others.
+    """
     return simhash.keep_one(docs, "doc_id", "text")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; n_chars follows."""
+    """Secrets in texts are replaced by a mark; n_chars follows. Null texts stay null, with their n_chars; every row stays."""
     clean = secret_scan.redact(docs, "text")
     if "n_chars" in clean.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
@@ -33,12 +38,15 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, each as often as the mix takes it."""
+    """Documents in training order, each as often as the mix takes it.
+
+    Null and wordless texts are never taken; null sources are one source; repeated rows are documents of their own.
+    """
     return mixing.mix(docs, "doc_id", "text", "source")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
+    """Pieces of documents with their places in sequences. Null texts count as empty; repeated rows are documents of their own."""
     return packing.pack(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
