@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,30 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
+def _table(index: Column, values: list[float]) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+
+
+#: Fixed values of the table functions: steps of both tables, and the bound beyond which the sigmoid is 0 or 1.
+STEPS, BOUND = 512, 8
+
+
+def table_sigmoid(x: Column) -> Column:
+    """The sigmoid at the left end of one of STEPS steps between -BOUND and BOUND, in single precision; 0 below, 1 above."""
+    ends = np.arange(STEPS + 1) * (2.0 * BOUND / STEPS) - BOUND
+    values = (np.float32(1) / (np.float32(1) + np.exp(-ends).astype(np.float32))).astype(float).tolist()
+    x = x.cast("float")
+    step = F.floor((x + BOUND) * STEPS / BOUND / 2)
+    return F.when(x < -BOUND, 0.0).when(x > BOUND, 1.0).otherwise(_table(step, values))
+
+
+def table_log(x: Column) -> Column:
+    """The logarithm of a step's left end (and a little more) for x from 0 to 1, in single precision; 0 above."""
+    values = np.log((np.arange(STEPS + 1) + 1e-5) / STEPS).astype(np.float32).astype(float).tolist()
+    x = x.cast("float")
+    return F.when(x > 1, 0.0).otherwise(_table(F.floor(x * STEPS), values))
+
+
 def softmax(m: Column) -> Column:
     """Probabilities of a margin array, shifted by its maximum."""
     e = F.transform(m, lambda v: F.exp(v - F.array_max(m)))
@@ -25,8 +50,8 @@ def one_hot(y: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(y == i, 1.0).otherwise(0.0))
 
 
-def logistic(margin: Column, y: Column) -> tuple[Column, Column]:
-    p = sigmoid(margin)
+def logistic(margin: Column, y: Column, fast: bool = False) -> tuple[Column, Column]:
+    p = table_sigmoid(margin) if fast else sigmoid(margin)
     return p - y, F.greatest(p * (1 - p), F.lit(EPS))
 
 
@@ -64,10 +89,10 @@ def loss_name(name: str, num_class: int = 2) -> str:
     return n
 
 
-def gradients(loss: str, margin: Column, y: Column, num_class: int) -> tuple[Column, Column]:
+def gradients(loss: str, margin: Column, y: Column, num_class: int, fast: bool = False) -> tuple[Column, Column]:
     n = loss_name(loss, num_class)
     if num_class == 2:
-        return logistic(margin, y) if n == "binary:logistic" else squared(margin, y)
+        return logistic(margin, y, fast) if n == "binary:logistic" else squared(margin, y)
     return multinomial(margin, y, num_class) if n == "multi:logistic" else squared_multi(margin, y, num_class)
 
 

@@ -22,17 +22,22 @@ def build_sql(rows: DataFrame, fids: list[int], k: int) -> DataFrame:
 
 
 def build_arrow(rows: DataFrame, fids: list[int], k: int) -> DataFrame:
-    """The same by numpy bin counts per partition: what is shuffled is one histogram per partition."""
+    """The same by numpy bin counts per partition: what is shuffled is one histogram per partition. Rows may hold the pairs as arrays g and h."""
     names = ["n", *pairs(k)]
+    arrays = k > 1 and "g" in rows.columns
+    given = ["g", "h"] if arrays else pairs(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             node = b.column(0).to_numpy().astype(np.int64)
-            weights = [None, *[b.column(1 + i).to_numpy() for i in range(2 * k)]]
+            if arrays:
+                weights = [None, *np.concatenate([b.column(1 + i).flatten().to_numpy().reshape(-1, k) for i in range(2)], axis=1).T]
+            else:
+                weights = [None, *[b.column(1 + i).to_numpy() for i in range(2 * k)]]
             nodes, at = np.unique(node, return_inverse=True)
             for j, f in enumerate(fids):
-                bins = b.column(1 + 2 * k + j).to_numpy().astype(np.int64)
+                bins = b.column(1 + len(given) + j).to_numpy().astype(np.int64)
                 width = int(bins.max()) + 1 if len(bins) else 1
                 key = at * width + bins
                 sums = np.stack([np.bincount(key, weights=w, minlength=len(nodes) * width).astype(np.float64) for w in weights], axis=1)
@@ -51,10 +56,16 @@ def build_arrow(rows: DataFrame, fids: list[int], k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["node", "fid", "bin", *names])
 
     schema = "node long, fid int, bin int, " + ", ".join(f"{c} double" for c in names)
-    part = rows.select("node", *pairs(k), *[f"b{f}" for f in fids]).mapInArrow(run, schema)
+    part = rows.select("node", *given, *[f"b{f}" for f in fids]).mapInArrow(run, schema)
     return part.groupBy("node", "fid", "bin").agg(F.sum("n").cast("long").alias("n"), *[F.sum(c).alias(c) for c in pairs(k)])
 
 
+def build_grouped(rows: DataFrame, k: int = 1) -> DataFrame:
+    """node, grp, fid (its number inside the group), bin, n and pairs from bins.grouped_rows() that keep node and pairs: present cells only."""
+    d = rows.select("node", "grp", *pairs(k), F.explode(F.arrays_zip("fids", "bins")).alias("c"))
+    return d.groupBy("node", "grp", F.col("c.fids").alias("fid"), F.col("c.bins").alias("bin")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in pairs(k)])
+
+
 def fill_default(observed: DataFrame, totals: DataFrame, info: DataFrame, k: int = 1) -> DataFrame:
     """Histogram of present cells plus, in each feature's default bin, what the node has beyond them."""
     names = ["n", *pairs(k)]

@@ -31,6 +31,16 @@ class GBDTParams:
     metrics: tuple[str, ...] = ()
     seed: int = 0
     lambda_floor: float = 1.0
+    fast_math: bool = False  # the sigmoid of gradients by a table
+    float32: bool = False  # feature values in single precision
+    valid_ratio: float = 0.25
+    num_feature: int = 0
+    num_worker: int = 0
+    lighter_child_first: bool = True
+    model_path: str = ""
+    train_path: str = ""
+    valid_path: str = ""
+    predict_path: str = ""
 
     def __post_init__(self) -> None:
         if self.num_class < 2 or self.num_tree < 0 or self.max_depth < 1 or self.num_split < 1:
@@ -56,6 +66,8 @@ class GBDTParams:
         "spark.gbdt.min.node.instance": "min_node_instance", "spark.gbdt.min.split.gain": "min_split_gain", "spark.gbdt.reg.alpha": "reg_alpha",
         "spark.gbdt.reg.lambda": "reg_lambda", "spark.gbdt.max.leaf.weight": "max_leaf_weight", "spark.feature.sample.ratio": "feature_sample_ratio",
         "spark.ml.eval.metric": "metrics", "spark.gbdt.max.node.num": "max_node_num", "spark.gbdt.full.hessian": "full_hessian", "spark.gbdt.hist.subtraction": "hist_subtraction",
+        "spark.ml.valid.ratio": "valid_ratio", "spark.ml.feature.num": "num_feature", "spark.ml.worker.num": "num_worker", "spark.gbdt.lighter.child.first": "lighter_child_first",
+        "spark.ml.model.path": "model_path", "spark.ml.train.path": "train_path", "spark.ml.valid.path": "valid_path", "spark.ml.predict.path": "predict_path",
     }
 
     @classmethod

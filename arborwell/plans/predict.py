@@ -82,7 +82,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(j) for j in range(len(cols))], margin], names=[*cols, "margin"])
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols] + [f"margin {kind}"])
-    return df.select(*cols, *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(features)]).mapInArrow(run, schema)
+    return df.select(*cols, *[F.col(c).cast("float" if model.params.float32 else "double").cast("double").alias(f"_x{j}") for j, c in enumerate(features)]).mapInArrow(run, schema)
 
 
 def classify(margin: Column, num_class: int) -> Column:

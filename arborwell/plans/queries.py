@@ -245,6 +245,40 @@ SELECT f.fid, nl, array_to_string(list_sort(l), ',') AS left_bins,
   round({_gain_sql('gl', 'hl', P)} + {_gain_sql('(t.g - gl)', '(t.h - hl)', P)} - {_gain_sql('t.g', 't.h', P)} - {P.lam}, 6) AS gain FROM f JOIN tot t ON t.fid = f.fid AND f.o = t.m WHERE len(l) <= t.m"""
 
 
+def _best_sql(name: str, rows: str, node: str, p: GBDTParams) -> str:
+    """CTEs <name>_*: the best split of each node (column node of rows), points and sets; last is {name}."""
+    numeric = f"{_gain_sql('gl', 'hl', p)} + {_gain_sql('(g - gl)', '(h - hl)', p)} - {_gain_sql('g', 'h', p)} - {p.lam}"
+    sets = f"{_gain_sql('gl', 'hl', p)} + {_gain_sql('(t.g - gl)', '(t.h - hl)', p)} - {_gain_sql('t.g', 't.h', p)} - {p.lam}"
+    n = name
+    return f"""{n}_hist AS (SELECT {node}::BIGINT AS node, fid, bin::INT AS bin, count(*) AS n, sum(g)::DOUBLE AS g0, sum(h)::DOUBLE AS h0 FROM {rows} GROUP BY ALL),
+    {n}_c AS (SELECT node, fid, bin, sum(g0) OVER u AS gl, sum(h0) OVER u AS hl, sum(n) OVER u AS nl, sum(g0) OVER a AS g, sum(h0) OVER a AS h, sum(n) OVER a AS nt FROM {n}_hist
+          WINDOW u AS (PARTITION BY node, fid ORDER BY bin ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY node, fid)),
+    {n}_s AS (SELECT node, {n}_c.fid, bin, NULL::INT[] AS l, nl::BIGINT AS nl, splits[bin + 2] AS fvalue, gl, hl, g, h, nt, {numeric} AS gain FROM {n}_c JOIN info USING (fid) WHERE NOT is_categorical AND bin < num_bin - 1),
+    {n}_b AS (SELECT x.*, row_number() OVER (PARTITION BY node, x.fid ORDER BY bin) AS o FROM {n}_hist x JOIN info i ON i.fid = x.fid AND i.is_categorical WHERE x.bin <> i.default_bin),
+    {n}_t AS (SELECT node, x.fid, sum(g0) AS g, sum(h0) AS h, sum(n) AS nt, count(*) FILTER (bin <> default_bin) AS m, coalesce(sum(g0) FILTER (bin = default_bin), 0) AS dg, coalesce(sum(h0) FILTER (bin = default_bin), 0) AS dh,
+              coalesce(sum(n) FILTER (bin = default_bin), 0) AS dn, any_value(default_bin) AS db FROM {n}_hist x JOIN info i ON i.fid = x.fid AND i.is_categorical GROUP BY node, x.fid),
+    {n}_f AS (SELECT node, fid, 0::BIGINT AS o, dg::DOUBLE AS gl, dh::DOUBLE AS hl, dn::BIGINT AS nl, [db::INT] AS l FROM {n}_t UNION ALL
+      SELECT f.node, f.fid, f.o + 1, CASE WHEN b.g0 * (2 * gl + b.g0 - t.g) >= 0 THEN gl + b.g0 ELSE gl END, CASE WHEN b.g0 * (2 * gl + b.g0 - t.g) >= 0 THEN hl + b.h0 ELSE hl END,
+             CASE WHEN b.g0 * (2 * gl + b.g0 - t.g) >= 0 THEN nl + b.n ELSE nl END, CASE WHEN b.g0 * (2 * gl + b.g0 - t.g) >= 0 THEN list_append(l, b.bin) ELSE l END
+      FROM {n}_f f JOIN {n}_b b ON b.node = f.node AND b.fid = f.fid AND b.o = f.o + 1 JOIN {n}_t t ON t.node = f.node AND t.fid = f.fid),
+    {n}_all AS (SELECT node, fid, 0 AS split_type, bin, l, nl, fvalue, gl, hl, g, h, nt, gain FROM {n}_s UNION ALL
+      SELECT f.node, f.fid, 1, NULL, l, nl, NULL, gl, hl, t.g, t.h, t.nt, {sets} FROM {n}_f f JOIN {n}_t t ON t.node = f.node AND t.fid = f.fid AND f.o = t.m WHERE len(l) <= t.m),
+    {n} AS (SELECT * FROM {n}_all WHERE gain > {max(0.0, p.min_split_gain)} AND nt > {p.min_node_instance} AND g <> 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, split_type, fid, bin) = 1)"""
+
+
+def _tree_sql(p: GBDTParams, only_best: bool) -> str:
+    """Label, class, rows and mean margin under one tree of depth 2; only_best: of the two children, only the one with the larger gain is split."""
+    some = "SELECT * FROM lvl1 QUALIFY row_number() OVER (ORDER BY gain DESC, node) = 1" if only_best else "SELECT * FROM lvl1"
+    side = "(CASE WHEN x.split_type = 0 THEN bin > x.bin0 ELSE NOT list_contains(x.l, bin) END)::INT"
+    return f"""WITH RECURSIVE {_BINS}, {_best_sql('lvl0', 'gh', 'root', p)},
+    s0 AS (SELECT rid, 1 + {side} AS node FROM (SELECT gh.rid, gh.bin, b.split_type, b.bin AS bin0, b.l FROM gh JOIN lvl0 b ON gh.fid = b.fid) x),
+    rows1 AS (SELECT gh.*, s0.node FROM gh JOIN s0 USING (rid)), {_best_sql('lvl1', 'rows1', 'node', p)}, chosen AS ({some}),
+    s1 AS (SELECT rid, 2 * node + 1 + {side} AS leaf FROM (SELECT r.rid, r.node, r.bin, b.split_type, b.bin AS bin0, b.l FROM rows1 r JOIN chosen b ON r.fid = b.fid AND r.node = b.node) x),
+    leaves AS (SELECT r.y, r.g, r.h, coalesce(s1.leaf, r.node) AS leaf FROM rows1 r LEFT JOIN s1 USING (rid) WHERE r.fid = 0),
+    weights AS (SELECT leaf, {p.learning_rate}::DOUBLE * CASE WHEN sum(g) <> 0 THEN -sum(g) / (sum(h) + {p.lam}) ELSE 0 END AS m FROM leaves GROUP BY leaf)
+    SELECT y, (m > 0)::INT AS predicted, count(*) AS n, round(avg(m), 6) AS avg_margin FROM leaves JOIN weights USING (leaf) GROUP BY 1, 2"""
+
+
 def pred_after_tree1(spark, d):
     p = GBDTParams(num_tree=1, max_depth=1, min_node_instance=16, num_split=Q, learning_rate=0.5)
     m = training.train(_lineitem(spark, d), "y", ["l_quantity"], p)
@@ -319,14 +353,116 @@ def _train(p: GBDTParams):
     return run
 
 
+K, MULTI = 10, GBDTParams(loss="multi:logistic", num_class=10, num_tree=1, max_depth=2, num_split=8, min_node_instance=16)
+DIMS = [f"e{i}" for i in range(64)]
+
+
+def _embeddings(spark, d) -> DataFrame:
+    return _t(spark, d, "embeddings").select("label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(DIMS)])
+
+
 def train_multi(spark, d):
-    e = _t(spark, d, "embeddings").select("label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)])
-    m = training.train(e, "label", [f"e{i}" for i in range(8)], GBDTParams(loss="multi:logistic", num_class=10, num_tree=1, max_depth=2, num_split=8, min_node_instance=16))
+    """One tree of depth 2 for ten classes on all components."""
+    e = _embeddings(spark, d)
+    m = training.train(e, "label", DIMS, MULTI)
     return predicting.predict(e, m).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
+def best_split_multi(spark, d):
+    """The best split at the root for ten classes: uniform probabilities, diagonal Hessian."""
+    e = _embeddings(spark, d)
+    infos = training.prepare(e, DIMS, MULTI)
+    info = spark.createDataFrame([(i["fid"], i["is_categorical"], i["splits"], i["num_bin"], i["default_bin"]) for i in infos.values()], "fid int, is_categorical boolean, splits array<double>, num_bin int, default_bin int")
+    g, h = objective.gradients(MULTI.loss, F.array(*[F.lit(0.0)] * K), F.col("_y"), K)
+    rows = bins.bin_columns(e.withColumn("_y", F.col("label").cast("double")), DIMS, infos, ["_y"]).withColumns({"g": g, "h": h, "node": F.lit(0).cast("long")})
+    b = split.best_splits(histogram.build_arrow(rows, list(range(len(DIMS))), K), info, MULTI)
+    return b.select("node", "fid", "bin", "nl", F.round("fvalue", 6).alias("fvalue"), F.round("gain", 6).alias("gain"), F.round("l_g0", 6).alias("gl0"))
+
+
+_MULTI_SPLIT = f"""WITH e AS (SELECT row_number() OVER () AS rid, label, embedding FROM embeddings),
+cells AS (SELECT rid, label, i AS fid, embedding[i + 1]::DOUBLE AS value FROM e, range({len(DIMS)}) AS q(i) WHERE embedding[i + 1] <> 0),
+r AS (SELECT fid, value, row_number() OVER (PARTITION BY fid ORDER BY value) - 1 AS rk, count(*) OVER (PARTITION BY fid) AS n FROM cells),
+k AS (SELECT DISTINCT r.fid, r.value AS c FROM r JOIN range(8) AS q(i) ON r.rk = (r.n * q.i) // 8),
+cuts AS (SELECT fid, list(c ORDER BY c) AS s FROM k GROUP BY fid),
+b AS (SELECT e.rid, e.label, q.i AS fid, s, greatest(len(list_filter(s, lambda c: c <= embedding[q.i + 1])) - 1, 0) AS bin FROM e, range({len(DIMS)}) AS q(i) JOIN cuts ON cuts.fid = q.i),
+c AS (SELECT fid, bin, any_value(s) AS s, o, count(*) AS n, sum(0.1 - (label = o)::INT)::DOUBLE AS g, sum(0.09)::DOUBLE AS h FROM b, range({K}) AS z(o) GROUP BY fid, bin, o),
+u AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, sum(g) OVER a AS gt, sum(h) OVER a AS ht FROM c
+      WINDOW w AS (PARTITION BY fid, o ORDER BY bin ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY fid, o)),
+v AS (SELECT fid, bin, any_value(s) AS s, any_value(nl) AS nl, any_value(gl) FILTER (o = 0) AS gl0,
+             (sum(gl * gl / (hl + 1)) + sum((gt - gl) * (gt - gl) / (ht - hl + 1)) - sum(gt * gt / (ht + 1))) / {K} - 1 AS gain FROM u WHERE bin < len(s) - 1 GROUP BY fid, bin)
+SELECT 0::BIGINT AS node, fid::INT AS fid, bin::INT AS bin, nl::BIGINT AS nl, round(s[bin + 2], 6) AS fvalue, round(gain, 6) AS gain, round(gl0, 6) AS gl0 FROM v WHERE gain > 0 ORDER BY v.gain DESC, fid, bin LIMIT 1"""
+
+
+def leaf_weights_multi(spark, d):
+    """Weights of the classes on either side of 0 of the first component: uniform probabilities, L1 and a bound on weights."""
+    p = GBDTParams(reg_alpha=2.0, max_leaf_weight=1.5)
+    g, h = objective.multinomial(F.array(*[F.lit(0.0)] * K), F.col("label"), K)
+    e = _embeddings(spark, d).select(F.when(F.col("e0") < 0, 1).otherwise(2).cast("long").alias("node"), F.posexplode(F.arrays_zip(g.alias("g"), h.alias("h"))).alias("k", "p"))
+    t = e.groupBy("node", "k").agg(F.sum("p.g").alias("g"), F.sum("p.h").alias("h"))
+    return t.select("node", "k", F.round(weight(F.round("g", 9), F.col("h"), p), 6).alias("weight"))
+
+
+_LEAF_MULTI = f"""WITH t AS (SELECT CASE WHEN embedding[1] < 0 THEN 1 ELSE 2 END AS node, o, round(sum(0.1 - (label = o)::INT), 9)::DOUBLE AS g, sum(0.09)::DOUBLE AS h FROM embeddings, range({K}) AS z(o) GROUP BY 1, 2)
+SELECT node::BIGINT AS node, o::INT AS k, round(CASE WHEN g <> 0 THEN greatest(least(-sign(g) * greatest(abs(g) - 2, 0) / (h + 1), 1.5), -1.5) ELSE 0 END, 6) + 0.0 AS weight FROM t"""
+
+
+def _fixed_multi_model() -> training.Model:
+    N = training.Node
+    t1 = {0: N(fid=0, split_type=0, fvalue=100000.0), 1: N(weight=[1.0, 0.0, -1.0]), 2: N(fid=1, split_type=1, right_values=[2.0, 3.0]), 5: N(weight=[0.0, 2.0, 0.5]), 6: N(weight=[0.25, 0.25, 3.0])}
+    t2 = {0: N(fid=1, split_type=0, fvalue=4.0), 1: N(weight=[0.5, 0.0, 0.0]), 2: N(weight=[0.0, 1.5, 0.0])}
+    return training.Model(GBDTParams(loss="multi:logistic", num_class=3, learning_rate=0.5), ["price", "prio"], [t1, t2], [])
+
+
+def predict_class(spark, d):
+    """Class by the first largest margin of three, with prices and priorities that are null, 0 or in no set."""
+    odd = F.when(F.col("prio") == 5, F.lit(None)).when(F.col("prio") == 1, 0.0).otherwise(F.col("prio"))
+    o = _orders(spark, d).select(F.when(F.col("price") < 5000, F.lit(None)).otherwise(F.col("price")).alias("price"), odd.alias("prio"))
+    s = predicting.predict(o, _fixed_multi_model())
+    return s.groupBy("predicted").agg(F.count(F.lit(1)).alias("n"), F.sum(F.element_at("margin", 1)).alias("m0"), F.sum(F.element_at("margin", 3)).alias("m2"))
+
+
+_PREDICT_CLASS = """WITH o AS (SELECT CASE WHEN o_totalprice < 5000 THEN NULL ELSE o_totalprice END AS p, CASE substr(o_orderpriority, 1, 1)::INT WHEN 5 THEN NULL WHEN 1 THEN 0 ELSE substr(o_orderpriority, 1, 1)::INT END AS q FROM orders),
+m AS (SELECT CASE WHEN coalesce(p, 0) < 100000 THEN [1.0, 0, -1] WHEN coalesce(q, 0) IN (2, 3) THEN [0.25, 0.25, 3] ELSE [0, 2, 0.5] END AS a, CASE WHEN coalesce(q, 0) < 4 THEN [0.5, 0, 0] ELSE [0, 1.5, 0] END AS b FROM o),
+z AS (SELECT [(0.5 * (a[i] + b[i]))::DOUBLE FOR i IN [1, 2, 3]] AS m FROM m)
+SELECT (list_position(m, list_max(m)) - 1)::INT AS predicted, count(*) AS n, sum(m[1]) AS m0, sum(m[3]) AS m2 FROM z GROUP BY 1"""
+
+
 def kll_cuts(spark, d):
-    return bins.kll_cuts(_cells(spark, d), Q)
+    """Cuts from the sketch, and how far each stands from its exact rank: within 2 % of the cells."""
+    cells = _cells(spark, d)
+    ranked = bins._ranked(bins.value_counts(cells)).select(F.col("fid").alias("rf"), "value", "lo", "hi", "total")
+    c = bins.kll_cuts(cells, Q).join(ranked, (F.col("fid") == F.col("rf")) & (F.col("cut") == F.col("value")))
+    # cuts are distinct, so a cut may stand for several equal ranks: its nearest wanted rank counts
+    off = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(Q - 1)), lambda i: F.greatest(F.col("lo") - F.floor(F.col("total") * i / Q), F.floor(F.col("total") * i / Q) - F.col("hi") + 1, F.lit(0))))
+    return c.groupBy("fid").agg(F.max(off <= 0.02 * F.col("total")).alias("close"), (F.min(off) == 0).alias("some_exact"), F.min("cut").alias("first_cut"))
+
+
+def quantiles_at(spark, d):
+    return bins.quantiles_at(_counts(spark, d), [0.0, 0.1, 0.25, 0.5, 0.9, 1.0])
+
+
+def table_functions(spark, d):
+    """Sigmoid and logarithm by tables, over margins within and beyond the sigmoid's bound."""
+    m = (F.col("l_linenumber") - 4) * 3 + F.col("l_discount")
+    li = _lineitem(spark, d).select(F.round(objective.table_sigmoid(m), 6).alias("s"), F.round(objective.table_log(F.col("l_discount") * 12), 5).alias("l"))
+    return li.groupBy("s", "l").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TABLES = f"""WITH m AS (SELECT ((l_linenumber - 4) * 3 + l_discount)::FLOAT AS m, (l_discount * 12)::FLOAT AS x FROM lineitem),
+i AS (SELECT m, x, floor((m + 8) * 512 / 8 / 2) AS a, floor(x * 512) AS b FROM m)
+SELECT round(CASE WHEN m < -8 THEN 0 WHEN m > 8 THEN 1 ELSE 1 / (1 + exp(-(a / 32 - 8))) END, 6)::DOUBLE AS s, round(CASE WHEN x > 1 THEN 0 ELSE ln((b + 1e-5) / 512) END, 5)::DOUBLE AS l, count(*) AS n FROM i GROUP BY 1, 2"""
+
+
+def feature_group_layout(spark, d):
+    """Histogram of the root from the layout by feature groups, present cells only."""
+    info = _info(spark, d)
+    groups = cut(bins.dense_groups(info, 2))
+    li = _lineitem(spark, d).withColumn("ins_id", F.monotonically_increasing_id())
+    g, h = objective.logistic(F.lit(0.0), F.col("y"))
+    rows = bins.grouped_rows(sparse.wide_to_cells(li, FEATURES, keep=["ins_id", "y"]), info, groups, keep=["y"])
+    hist = histogram.build_grouped(rows.withColumns({"node": F.lit(0).cast("long"), "g0": g, "h0": h}))
+    names = groups.select(F.col("grp").alias("grp_of"), "place", F.col("fid").alias("true_fid"))
+    return hist.join(F.broadcast(names), (F.col("grp") == F.col("grp_of")) & (F.col("fid") == F.col("place"))).select(F.col("true_fid").alias("fid"), F.col("grp").cast("int").alias("grp"), F.col("bin").cast("int").alias("bin"), "n", "g0")
 
 
 def best_root_split(spark, d):
@@ -339,6 +475,8 @@ def best_root_split(spark, d):
 _BEST = _best_numeric(P)
 _BEST_L1 = _best_numeric(GBDTParams(num_split=Q, reg_alpha=50.0, reg_lambda=2.0))
 _BEST_MAX = _best_numeric(GBDTParams(num_split=Q, max_leaf_weight=0.5, reg_alpha=1.0))
+_DEPTH2 = GBDTParams(num_tree=1, max_depth=2, num_split=Q, min_node_instance=16, learning_rate=0.5)
+_LEAFWISE = GBDTParams(num_tree=1, max_depth=3, num_split=Q, min_node_instance=16, growth="leaf", max_node_num=5)
 _LEAF, _LEAF_L1 = _leaf(GBDTParams()), _leaf(GBDTParams(reg_alpha=100.0, max_leaf_weight=0.7))
 
 QUERIES = {
@@ -350,7 +488,8 @@ QUERIES = {
     "split_scan": lambda s, d: (lambda r: _scan(histogram.build_arrow(r[0], list(range(len(FEATURES))), 1), r[1], P))(_binned(s, d)),
     "split_numeric_best": _BEST[0], "best_split_l1": _BEST_L1[0], "best_split_maxleaf": _BEST_MAX[0], "split_categorical_best": split_categorical_best, "route_level1": route_level1,
     "leaf_weights": _LEAF[0], "leaf_weights_l1_clamped": _LEAF_L1[0], "pred_after_tree1": pred_after_tree1, "predict_fixed_forest": predict_fixed_forest,
-    "train_binary": _train(_TRAIN), "train_leafwise": _train(GBDTParams(num_tree=1, max_depth=3, num_split=Q, min_node_instance=16, growth="leaf", max_node_num=5)), "train_multi": train_multi, "kll_cuts": kll_cuts,
+    "train_binary": _train(_TRAIN), "train_leafwise": _train(_LEAFWISE), "train_depth2": _train(_DEPTH2), "train_multi": train_multi, "kll_cuts": kll_cuts,
+    "best_split_multi": best_split_multi, "leaf_weights_multi": leaf_weights_multi, "predict_class": predict_class, "quantiles_at": quantiles_at, "table_functions": table_functions, "feature_group_layout": feature_group_layout,
     **{f"metric_{n.replace('-', '_')}": _metric(n) for n in [*_METRIC_SQL, "auc"]}, **{f"metric_{n.replace('-', '_')}_multi": _multi_metric(n) for n in _MULTI_SQL},
 }
 
@@ -358,6 +497,12 @@ _GRAD = lambda g, h: f"WITH {_wide()} SELECT y, count(*) AS n, sum({g})::DOUBLE
 _GRADM = lambda g, h: f"SELECT k::INT AS k, sum({g})::DOUBLE AS g, sum({h})::DOUBLE AS h FROM (SELECT list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS y, unnest(range(4)) AS k FROM documents) GROUP BY k"
 _HEAD = f"WITH {_wide()}, {_RANKS}"
 ORACLES = {
+    "best_root_split": f"WITH RECURSIVE {_BINS}, {_best_sql('lvl0', 'gh', 'root', P)} SELECT fid, split_type, fvalue, round(gain, 6) AS gain, nl, gl, hl FROM lvl0",
+    "train_depth2": _tree_sql(_DEPTH2, False), "train_leafwise": _tree_sql(_LEAFWISE, True),
+    "best_split_multi": _MULTI_SPLIT, "leaf_weights_multi": _LEAF_MULTI, "predict_class": _PREDICT_CLASS, "table_functions": _TABLES,
+    "quantiles_at": f"{_HEAD}, f AS (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.9, 1.0])::DOUBLE AS fraction) SELECT r.fid, fraction, value FROM r JOIN f ON r.rk = least(floor(r.n * fraction), r.n - 1)",
+    "kll_cuts": f"WITH {_wide()} SELECT fid, TRUE AS close, TRUE AS some_exact, min(value) AS first_cut FROM cells GROUP BY fid",
+    "feature_group_layout": f"{_HEAD}, o AS (SELECT fid, row_number() OVER (ORDER BY nnz, fid) - 1 AS r, count(*) OVER () AS n FROM info), q AS (SELECT fid, CASE WHEN r < n // 2 THEN fid % 2 ELSE 1 - fid % 2 END AS grp FROM o) SELECT fid, grp::INT AS grp, (greatest(len(list_filter(splits, lambda s: s <= value)) - 1, 0))::INT AS bin, count(*) AS n, sum(0.5 - y)::DOUBLE AS g0 FROM cells JOIN info USING (fid) JOIN q USING (fid) GROUP BY ALL",
     "libsvm_parse": f"WITH {_wide()} SELECT fid, count(*) AS n, round(sum(value), 2) AS total FROM cells GROUP BY fid",
     "label_remap_binary": f"WITH {_wide()} SELECT y, count(*) AS n FROM w GROUP BY y",
     "label_remap_multi": "SELECT CASE o_orderstatus WHEN 'F' THEN 0.0::DOUBLE WHEN 'O' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS y, count(*) AS n FROM orders GROUP BY 1",

@@ -100,7 +100,7 @@ def _best(rows: DataFrame, hist_of: dict, active: list[int], tree: dict[int, Nod
     """Histograms of the active nodes and their best splits."""
     k = p.outputs
     pairs_of = [(a, a + 1) for a in active if a % 2 and a + 1 in active] if p.hist_subtraction and hist_of else []
-    small = [min(ab, key=lambda a: tree[a].n) for ab in pairs_of]
+    small = [min(ab, key=lambda a: tree[a].n) if p.lighter_child_first else ab[0] for ab in pairs_of]
     large = {2 * ((a - 1) // 2) + 1 + (a % 2) for a in small}
     build = [a for a in active if a not in large]
     hist = histogram.build_arrow(rows.where(F.col("node").isin(build)), fids, k)
@@ -119,6 +119,9 @@ def train(df: DataFrame, label: str, features: list[str], params: GBDTParams | N
         raise ValueError("growing with full Hessians is not supported; see full_hessian_weight")
     spark, k = df.sparkSession, p.outputs
     df = sparse.remap_labels(df, label, p.num_class)
+    if p.float32:
+        df = df.withColumns({f: F.col(f).cast("float").cast("double") for f in features})
+        valid = valid.withColumns({f: F.col(f).cast("float").cast("double") for f in features}) if valid is not None else None
     infos = prepare(df, features, p)
     info = spark.createDataFrame([(i["fid"], i["is_categorical"], i["splits"], i["num_bin"], i["default_bin"]) for i in infos.values()], "fid int, is_categorical boolean, splits array<double>, num_bin int, default_bin int")
     zero = F.lit(0.0) if k == 1 else F.array(*[F.lit(0.0)] * k)
@@ -128,14 +131,12 @@ def train(df: DataFrame, label: str, features: list[str], params: GBDTParams | N
     rows = bins.bin_columns(both.withColumn("_y", F.col(label).cast("double")), features, infos, ["_y", "_part"]).withColumn("_m", zero)
     rows = cut(rows)
     model = Model(p, features, [], [])
-    names = histogram.pairs(k)
     for t in range(p.num_tree):
         fids = [f for f in sampled_features(len(features), p, t) if f in infos]
-        g, h = objective.gradients(p.loss, F.col("_m"), F.col("_y"), p.num_class)
-        cols = [g.alias("g0"), h.alias("h0")] if k == 1 else [F.get(g, F.lit(i)).alias(f"g{i}") for i in range(k)] + [F.get(h, F.lit(i)).alias(f"h{i}") for i in range(k)]
+        g, h = objective.gradients(p.loss, F.col("_m"), F.col("_y"), p.num_class, p.fast_math)
+        cols = [g.alias("g0"), h.alias("h0")] if k == 1 else [g.alias("g"), h.alias("h")]
         graded = rows.where("_part = 0").select(*cols, *[f"b{f}" for f in range(len(features))])
-        total = graded.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]).first()
-        tree = {0: Node(total["n"], [total[f"g{i}"] or 0.0 for i in range(k)], [total[f"h{i}"] or 0.0 for i in range(k)])}
+        tree = {0: _root(graded, k)}
         pending: dict[int, object] = {}
         active, hist_of = [0] if can_split(tree[0], p) else [], {}
         limit = p.max_node_num or (1 << (p.max_depth + 1)) - 1
@@ -157,7 +158,7 @@ def train(df: DataFrame, label: str, features: list[str], params: GBDTParams | N
                 if n.split_type:
                     n.right_values = [v for b, v in enumerate(infos[n.fid]["splits"]) if b not in n.left_bins]
                     # bins without rows in this node stand on the left, as unseen values do
-                    n.left_bins, n.right_values = _sides(n, infos[n.fid], hist, a)
+                    n.left_bins, n.right_values = _sides(n, infos[n.fid], r["bins"])
                 gl, hl = [r[f"l_g{i}"] for i in range(k)], [r[f"l_h{i}"] for i in range(k)]
                 tree[2 * a + 1] = Node(r["nl"], gl, hl)
                 tree[2 * a + 2] = Node(n.n - r["nl"], [x - y for x, y in zip(n.g, gl, strict=True)], [x - y for x, y in zip(n.h, hl, strict=True)])
@@ -174,9 +175,17 @@ def train(df: DataFrame, label: str, features: list[str], params: GBDTParams | N
     return model
 
 
-def _sides(n: Node, info: dict, hist: DataFrame, at: int) -> tuple[list[int], list[float]]:
-    seen = {r["bin"] for r in hist.where((F.col("node") == at) & (F.col("fid") == n.fid)).select("bin").collect()}  # a feature's bins
-    right = sorted(seen - set(n.left_bins))
+def _root(graded: DataFrame, k: int) -> Node:
+    if k == 1:
+        t = graded.agg(F.count(F.lit(1)).alias("n"), F.sum("g0").alias("g"), F.sum("h0").alias("h")).first()
+        return Node(t["n"], [t["g"] or 0.0], [t["h"] or 0.0])
+    each = graded.select(F.posexplode(F.arrays_zip("g", "h")).alias("k", "p")).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("p.g").alias("g"), F.sum("p.h").alias("h"))
+    rows = {r["k"]: r for r in each.collect()}  # one row per output
+    return Node(rows[0]["n"], [rows[i]["g"] for i in range(k)], [rows[i]["h"] for i in range(k)]) if rows else Node(0, [0.0] * k, [0.0] * k)
+
+
+def _sides(n: Node, info: dict, seen: list[int]) -> tuple[list[int], list[float]]:
+    right = sorted(set(seen) - set(n.left_bins))
     return [b for b in range(info["num_bin"]) if b not in right], [info["splits"][b] for b in right]
 
 

@@ -17,13 +17,13 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "documents"):
+    for t in ("lineitem", "orders", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
-@pytest.mark.parametrize("name", ["libsvm_parse", "quantile_cuts", "feature_info", "hist_default_fill", "hist_subtract", "split_scan", "split_categorical_best", "leaf_weights_l1_clamped", "predict_fixed_forest", "metric_auc", "metric_cross_entropy_multi", "pred_after_tree1"])
+@pytest.mark.parametrize("name", ["libsvm_parse", "quantile_cuts", "feature_info", "hist_default_fill", "hist_subtract", "split_scan", "split_categorical_best", "leaf_weights_l1_clamped", "predict_fixed_forest", "metric_auc", "metric_cross_entropy_multi", "pred_after_tree1", "best_root_split", "train_depth2", "train_leafwise", "best_split_multi", "leaf_weights_multi", "predict_class", "quantiles_at", "table_functions", "kll_cuts", "feature_group_layout"])
 def test_query_matches_sql(spark, duck, name):
     df = queries.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
@@ -132,3 +132,82 @@ def test_text_source(spark, tmp_path):
     cells = sparse.explode_cells(sparse.read_libsvm(spark, f"file://{path}"))
     assert {r.fid: r.nnz for r in bins.nnz(cells).collect()} == {1: 1, 3: 1, 7: 1}
     assert np.allclose(train.full_hessian_weight([1.0, 0.0], [1.0, 0.0, 1.0], GBDTParams()), [-0.5, 0.0])
+
+
+def test_sketch_cuts_are_close_to_exact_ranks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.lognormal(size=20_000)
+    cells = spark.createDataFrame([(0, float(v)) for v in x] + [(1, float(k % 3 + 1)) for k in range(50)], "fid int, value double").repartition(5)
+    cuts = {}
+    for r in bins.kll_cuts(cells, 20).collect():
+        cuts.setdefault(r.fid, []).append((r.idx, r.cut))
+    got = [c for _, c in sorted(cuts[0])]
+    ranks = np.searchsorted(np.sort(x), got) / len(x)
+    assert len(got) == 20 and got[0] == x.min() and np.abs(ranks - np.arange(20) / 20).max() < 0.01
+    assert [c for _, c in sorted(cuts[1])] == [1.0, 2.0, 3.0]
+    p = GBDTParams(num_tree=1, max_depth=2, num_split=10, min_node_instance=10, cuts="kll", float32=True, fast_math=True)
+    df = spark.createDataFrame([(float(v), float(v > 1)) for v in x[:2000]], "a double, y double")
+    assert train.train(df, "y", ["a"], p).trees[0][0].fid == 0
+
+
+def test_multi_output_split_matches_plain_search(spark):
+    from arborwell.operators import histogram, split
+
+    rng = np.random.default_rng(5)
+    n, k = 400, 4
+    b, y = rng.integers(0, 6, (n, 3)), rng.integers(0, k, n)
+    y[b[:, 1] > 3] = 2
+    p = GBDTParams(loss="multi:logistic", num_class=k, min_node_instance=1, reg_alpha=0.5)
+    g, h = 1 / k - (y[:, None] == np.arange(k)), np.full((n, k), (1 / k) * (1 - 1 / k))
+    rows = spark.createDataFrame([(i % 2, g[i].tolist(), h[i].tolist(), *map(int, b[i])) for i in range(n)], "node long, g array<double>, h array<double>, b0 int, b1 int, b2 int")
+    info = spark.createDataFrame([(0, False, [float(v) for v in range(6)], 6, 0), (1, False, [float(v) for v in range(6)], 6, 0), (2, True, [float(v) for v in range(1, 6)], 6, 5)], "fid int, is_categorical boolean, splits array<double>, num_bin int, default_bin int")
+    found = {r.node: r for r in split.best_splits(histogram.build_arrow(rows, [0, 1, 2], k), info, p).collect()}
+
+    def gain(rows):
+        s, t = g[rows].sum(axis=0), h[rows].sum(axis=0)
+        s = np.sign(s) * np.maximum(np.abs(s) - 0.5, 0)
+        return (s * s / (t + p.lam)).sum() / k
+
+    for node in (0, 1):
+        own = np.arange(n) % 2 == node
+        best = max((gain(own & (b[:, f] <= t)) + gain(own & (b[:, f] > t)) - gain(own) - p.lam, -f, -t) for f in (0, 1) for t in range(5))
+        r = found[node]
+        assert r.split_type == 0 and (r.fid, r.bin) == (-best[1], -best[2]) and r.gain == pytest.approx(best[0])
+        left = own & (b[:, r.fid] <= r.bin)
+        assert r.nl == left.sum() and r.l_g1 == pytest.approx(g[left, 1].sum()) and r.fvalue == r.bin + 1
+
+
+def test_training_for_ten_classes_on_64_features_is_quick(spark):
+    import time
+
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(300, 64)), rng.integers(0, 10, 300)
+    df = spark.createDataFrame([(*map(float, r), int(c)) for r, c in zip(x, y, strict=True)], ", ".join(f"f{k} double" for k in range(64)) + ", y int")
+    p = GBDTParams(loss="multi:logistic", num_class=10, num_tree=1, max_depth=2, num_split=8, min_node_instance=16)
+    start = time.time()
+    m = train.train(df, "y", [f"f{k}" for k in range(64)], p)
+    assert len(m.trees[0]) >= 3 and time.time() - start < 60
+
+
+def test_jobs_and_stream_from_a_configuration(spark, tmp_path):
+    from arborwell import streaming
+    from arborwell.plans import jobs
+
+    rng = np.random.default_rng(2)
+    lines = [f"{int(a > 0.5)} 0:{a:.3f} 2:{b:.3f}" for a, b in rng.random((300, 2)) + 0.01]
+    (tmp_path / "train.txt").write_text("\n".join(lines))
+    conf = {"spark.ml.train.path": f"file://{tmp_path}/train.txt", "spark.ml.predict.path": f"file://{tmp_path}/train.txt", "spark.ml.model.path": f"file://{tmp_path}/model", "spark.ml.feature.num": "3", "spark.ml.loss.func": "binary:logistic", "spark.gbdt.tree.num": "2", "spark.gbdt.max.depth": "2", "spark.gbdt.min.node.instance": "10", "spark.ml.worker.num": "2"}
+    model = jobs.train_job(spark, conf)
+    assert "valid_log-loss" in model.history[0]
+    scored = jobs.predict_job(spark, conf, f"file://{tmp_path}/out")
+    assert scored.where("label = predicted").count() > 280 and spark.read.text(f"file://{tmp_path}/out").count() == 300
+    with pytest.raises(ValueError):
+        jobs.train_job(spark, conf | {"spark.ml.feature.num": "0"})
+    rows = scored.select("label", "f0", "f1", "f2")
+    rows.limit(100).write.parquet(f"{tmp_path}/in")
+    for more in (100, 150):  # the second run takes what is new only
+        streaming.score_stream(spark, model, "label double, f0 double, f1 double, f2 double", f"{tmp_path}/in", f"{tmp_path}/scored", f"{tmp_path}/ck").awaitTermination()
+        assert spark.read.parquet(f"{tmp_path}/scored").count() == more
+        rows.limit(50).write.mode("append").parquet(f"{tmp_path}/in")
+    both = spark.read.parquet(f"{tmp_path}/scored").join(predict.score(spark.read.parquet(f"{tmp_path}/in"), model).withColumnRenamed("margin", "m"), ["f0", "f2"])
+    assert both.where("abs(m - margin) > 1e-12").count() == 0
