@@ -41,3 +41,31 @@ def test_dedup_matches_all_pairs(spark, sf, tile):
     want = {k: (0, rows[k][0]) for k in range(len(rows))} | {k: (int(link[p].sum()), int(comp[p])) for p, k in enumerate(good)}
     assert got == sorted((rows[k][0], n, c, rows[k][0] == c) for k, (n, c) in want.items())
     assert embed_dedup.op5_embed_dedup(spark, sf(embeddings=df.limit(0))).count() == 0
+
+
+def test_labels_of_any_type_and_vectors_in_double(spark, sf):
+    rows = [(1, [1.0, 0.0], "1.2"), (2, [1.0, 1e-9], "1.2"), (3, [1.0, 0.0], "1.7"), (4, [1.0, 0.0], None), (5, [0.93, 0.36756], "1.2"), (6, [0.9, 0.43589], "1.2")]
+    for kind, as_label in (("string", str), ("double", float)):
+        df = spark.createDataFrame([(i, v, as_label(x) if x else None) for i, v, x in rows], f"vec_id long, embedding array<double>, label {kind}")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.op5_embed_dedup(spark, sf(embeddings=df)).collect()}
+        assert got[3] == (0, 3) and got[4] == (0, 4)
+        u = {i: np.array(v) / np.linalg.norm(v) for i, v, x in rows if x == "1.2"}
+        want = {i: sum(1 for j in u if j != i and u[i] @ u[j] >= 0.93) for i in u}
+        assert {i: got[i][0] for i in u} == want
+
+
+def test_a_pair_within_the_threshold_keeps_its_sketch(spark):
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal((20_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * b  # cosine 0.93 exactly
+    d = np.bitwise_count((embed_dedup._sketches(a) ^ embed_dedup._sketches(b)).view(np.uint64)).sum(axis=1)
+    assert d.max() <= embed_dedup.SKETCH_RADIUS
+    far = np.bitwise_count((embed_dedup._sketches(a) ^ embed_dedup._sketches(a[::-1])).view(np.uint64)).sum(axis=1)
+    assert (far <= embed_dedup.SKETCH_RADIUS).mean() < 0.001
+    zero = np.zeros(len(a), dtype=np.int64)
+    met = (embed_dedup._keys(a, zero) == embed_dedup._keys(b, zero)).any(axis=1)
+    assert met.mean() > 0.999
