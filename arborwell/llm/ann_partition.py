@@ -14,7 +14,7 @@ grows with the rows up to PARTITIONS_MAX; beyond that, work per query grows with
 
 Vectors that are null, zero, of a length other than the most frequent one, or hold null or non-finite components take
 no part, nor do rows without an id. Rows that share an id are one row with the smallest of their vectors. Extra columns
-are ignored; an empty table gives no rows. Ties go to the smaller id.
+are ignored; an empty table gives no rows. Components stay as precise as they are given. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -209,7 +209,8 @@ def _score_task(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFram
 
 def search(df: DataFrame, id_col: str, vec: str, is_query, k: int = 20) -> DataFrame:
     """query_id, rank, id, score: the k nearest found for every row whose id satisfies is_query (a function of the id column)."""
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec}`").cast("array<float>").alias("vec"))
+    kind = "array<double>" if "double" in df.schema[vec].dataType.simpleString() else "array<float>"
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec}`").cast(kind).alias("vec"))
     rows = rows.where(usable("vec") & F.col("id").isNotNull()).groupBy("id").agg(F.min("vec").alias("vec"))
     rows = stage(rows, "vectors")
     lengths = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
@@ -228,7 +229,7 @@ def search(df: DataFrame, id_col: str, vec: str, is_query, k: int = 20) -> DataF
                 z = router.scores(np.stack(pdf["vec"].to_numpy()))
                 yield pdf.assign(routed=list(np.argsort(-z, axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
-    routed = stage(rows.mapInPandas(route, "id long, vec array<float>, routed array<int>"), "routed")
+    routed = stage(rows.mapInPandas(route, f"id long, vec {kind}, routed array<int>"), "routed")
     indexed = routed.select("id", "vec", F.lit(False).alias("query"), F.get("routed", F.lit(0)).alias("part"))
     queries = routed.where(is_query(F.col("id"))).select("id", "vec", F.lit(True).alias("query"), F.explode("routed").alias("part"))
     # at most PARTITIONS_MAX rows each
