@@ -9,7 +9,8 @@ patterns. The histogram and the patterns are bounded by SEQUENCE / UNIT, so the
 the input; pieces are never collected.
 
 Tokenising is by whole text. Texts of ordinary Latin letters are cut at white space and into the parts that the
-tokenizer never joins; each distinct part is encoded once per Python worker. Any other text is encoded as it stands.
+tokenizer never joins; each distinct part is encoded once per Python worker (words of over LONG characters are not kept). Any other text, and
+every text under a tokenizer that does not cut PROBE so, is encoded as it stands.
 
 Null text counts as empty: one piece with the end id. Null ids pass through; repeated rows are documents of their own.
 Extra columns are ignored; an empty table gives no rows.
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import running_offset, stage, worker_cache
 
 SEQUENCE, UNIT, END_ID, TOKENIZER = 4096, 16, 2, "word_bpe_49k.json"
-GAP, ROUNDS, CACHE_WORDS = 5e-4, 4_000, 1_200_000
+GAP, ROUNDS, CACHE_WORDS, LONG = 5e-4, 4_000, 1_200_000, 64
+PROBE = ["It's 42 \xe9t\xe9s, 'TWAS (we'll) don't: x_y--z!!", " A\tb\r\nCD3.14 \xbd \xaa\xba \xb5g... a@b.c #1 ", "The QUICK brown-fox_jumps"]
 #: Characters whose texts may be encoded by parts: no normalisation or case rule looks past one character here.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
 #: The tokenizer's own parts of a lower-cased text, for those characters.
@@ -52,8 +54,10 @@ def encoder(path: str):
         tok = Tokenizer.from_file(path if os.path.exists(path) else public_tokenizers.path(path))
         last = np.zeros(max(tok.get_vocab().values()) + 1, dtype=bool)  # ids that end a part
         last[[i for w, i in tok.get_vocab().items() if w.endswith("</w>")]] = True
-        cache[path] = (tok, last, {}, {})
-    tok, last, parts, words = cache[path]
+        ids_of = lambda t: tok.encode(t, add_special_tokens=False).ids
+        by_parts = all(ids_of(t) == [i for w in t.split() for part in _PRETOKEN.findall(w.lower()) for i in ids_of(part)] for t in PROBE)
+        cache[path] = (tok, last, {}, {}, by_parts)
+    tok, last, parts, words, by_parts = cache[path]
 
     def ids(encodings) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in encodings]
@@ -69,7 +73,7 @@ def encoder(path: str):
             parts.update(zip(new, ids(tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [t.split() if _PLAIN.fullmatch(t) and "<|" not in t else [] for t in texts]
+        split = [t.split() if by_parts and _PLAIN.fullmatch(t) and "<|" not in t else [] for t in texts]
         found = [list(map(words.get, s)) for s in split]
         gaps = [[k for k, v in enumerate(f) if v is None] for f in found]
         new = {s[k] for s, gap in zip(split, gaps, strict=True) for k in gap}
@@ -80,10 +84,14 @@ def encoder(path: str):
         for at in range(0, len(unknown), 20_000):
             learn(unknown[at : at + 20_000])
         part = parts.__getitem__
-        words.update((w, b"".join(map(part, ps))) for w, ps in cut.items())
+        fresh = {w: b"".join(map(part, ps)) for w, ps in cut.items()}
+        words.update((w, raw) for w, raw in fresh.items() if len(w) <= LONG)
+        for p in unknown:
+            if len(p) > LONG:
+                del parts[p]
         for s, f, gap in zip(split, found, gaps, strict=True):
             for k in gap:
-                f[k] = words[s[k]]
+                f[k] = fresh[s[k]]
         return [b"".join(f) if f else ids([tok.encode(t, add_special_tokens=False)])[0] for t, f in zip(texts, found, strict=True)]
 
     return encode

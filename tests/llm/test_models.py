@@ -147,3 +147,87 @@ def test_each_stage_of_the_pipeline_takes_effect(spark, tmp_path):
     tokens = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("e"))
     assert tokens.where("n > 4096 OR n <> e").count() == 0
     assert packed.where("start = 0").count() == mixed.count()
+
+
+def plain_quality(x, y, ids, fold):
+    """Ridge on Fourier features and isotonic calibration, all rows at once."""
+    use = np.array([lm_scoring.zlib.crc32(str(i).encode()) % 4 != 2 for i in ids])
+    mean, std = x.mean(axis=0), x.std(axis=0)
+    model = {"mean": mean, "std": np.where(std > 1e-9, std, 1.0)}
+    phi = quality._phi(x, model)
+
+    def ridge(rows):
+        a = phi[rows]
+        penalty = np.full(a.shape[1], quality.RIDGE * max(1.0, len(a)) + 1e-6)
+        penalty[-1] = 1e-9
+        return np.linalg.solve(a.T @ a + np.diag(penalty), a.T @ y[rows])
+
+    raw = np.zeros(len(x))
+    for f in range(quality.FOLDS):
+        raw[fold == f] = phi[fold == f] @ ridge(use & (fold != f))
+    bins: dict = {}
+    for k in np.flatnonzero(use):
+        bins.setdefault(int(np.clip(np.floor((raw[k] + 0.5) / 2 * quality.BINS), 0, quality.BINS - 1)), []).append(k)
+    groups = [bins[b] for b in sorted(bins)]
+    i = 0
+    while i < len(groups) - 1:  # join neighbours until means rise
+        if y[groups[i]].mean() >= y[groups[i + 1]].mean():
+            groups[i : i + 2] = [groups[i] + groups[i + 1]]
+            i = max(0, i - 1)
+        else:
+            i += 1
+    level, at = [y[g].mean() for g in groups], [raw[g].mean() for g in groups]
+    where = [raw[bins[b]].mean() for b in sorted(bins)]
+    spread = max(1e-6, np.ptp(where))
+    at, level = [at[0] - spread, *at, at[-1] + spread], [max(0.0, level[0] - 0.01), *level, min(1.0, level[-1] + 0.01)]
+    return np.clip(np.interp(phi @ ridge(use), at, level), 0, 1)
+
+
+def test_quality_matches_a_plain_version_and_ignores_held_out_labels(spark, sf):
+    rng = random.Random(11)
+    good = lambda: " ".join(rng.choice(["the", "cat", "sat", "quietly", "on", "mats", "near", "rivers", "today", "."]) for _ in range(rng.randrange(20, 120)))
+    bad = lambda: " ".join(rng.choice(["$$$", "BUY", "now!!", "x9x9", "click", "123", "%%%"]) for _ in range(rng.randrange(3, 60)))
+    y = [int(rng.random() < 0.5) for _ in range(400)]
+    texts = [(good if v ^ (rng.random() < 0.1) else bad)() for v in y]
+    docs = spark.createDataFrame([(k, t, "clash", 0.5) for k, t in enumerate(texts)], "doc_id long, text string, id string, score double")
+    label = lambda flip: spark.createDataFrame([(k, 1 - v if flip and lm_scoring.zlib.crc32(str(k).encode()) % 4 == 2 else v, "clash") for k, v in enumerate(y)], "doc_id long, quality int, y string")
+    rows = [sorted((r["doc_id"], r["score"], r["held_out"]) for r in quality.op8_quality(spark, sf(documents=docs, labels=label(flip))).collect()) for flip in (False, True)]
+    assert np.allclose([s for _, s, _ in rows[0]], [s for _, s, _ in rows[1]], atol=1e-9)
+    assert all(h == (lm_scoring.zlib.crc32(str(k).encode()) % 4 == 2) for k, _, h in rows[0])
+    fold = np.array([r[0] for r in docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)), "doc_id").orderBy("doc_id").collect()])
+    want = plain_quality(np.array([quality.statistics(t) for t in texts]), np.array(y, dtype=float), range(400), fold)
+    assert np.allclose([s for _, s, _ in rows[0]], want, atol=1e-6)
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    rng = random.Random(4)
+    good = lambda: " ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat", "by", "rivers", "."]) for _ in range(60))
+    bad = lambda: " ".join(rng.choice(["$$$", "BUY!!", "%%%", "x9"]) for _ in range(40))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _aw_x string, rank int, component string, id long"
+    row = lambda i, t, s="a": (i, t, "en", s, len(t or ""), "clash", 7, "clash", 8)
+    rows = [row(k, good() if k % 2 else bad(), "ab"[k % 3 == 0]) for k in range(60)]
+    rows += [row(100, None), row(101, ""), row(None, good()), row(None, good(), None), rows[1], rows[1], row(102, good() + " password=abcdefghijklmn")]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, schema)
+    folder = sf(documents=docs, labels=labels)
+    done = [docs]
+    for name, step in corpus_pipeline.STAGES:
+        done.append(stage(step(spark, done[-1], folder), name))
+        empty = step(spark, docs.limit(0), folder)
+        assert empty.count() == 0 and empty.columns == done[-1].columns
+    _, kept, single, clean, mixed, packed = done
+    assert kept.columns == single.columns == clean.columns == mixed.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert {k for k in ids if k is not None and k < 60} == set(range(1, 60, 2)) and ids.count(1) == 3 and ids.count(None) == 2
+    assert sorted((r["doc_id"] for r in single.where("doc_id < 60").collect())) == list(range(1, 60, 2))
+    assert single.where("doc_id IS NULL").count() == 2 and single.where("rank = 7 AND component = 'clash'").count() == single.count()
+    redacted = clean.where("doc_id = 102").first()
+    assert redacted["text"].endswith("[SECRET]") and redacted["n_chars"] == len(redacted["text"]) and clean.count() == single.count()
+    for r in clean.where("doc_id < 60 OR doc_id IS NULL").collect():
+        assert r["n_chars"] == len(r["text"])
+    times = mixed.groupBy("doc_id", "text").count().collect()
+    assert all(r["count"] <= 2 for r in times) and {r["text"] for r in times} <= {r["text"] for r in clean.collect()}
+    assert packed.where("start = 0").count() == mixed.count()
+    whole = corpus_pipeline.run(spark, folder)
+    key = lambda d: sorted((str(r["doc_id"]), r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in d.collect())
+    assert key(whole) == key(packed)

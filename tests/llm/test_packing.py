@@ -57,3 +57,26 @@ def test_patterns_meet_the_demand_with_little_padding():
     assert got == demand
     assert sum(n for _, n in used) <= 1.02 * sum(k * n for k, n in demand.items()) / 64 + 1
     assert packing.solve_patterns({}, 256) == []
+
+
+def test_other_tokenizers_and_long_words_give_the_tokenizers_own_ids():
+    import public_tokenizers
+    from pathlib import Path
+    from tokenizers import Tokenizer
+
+    texts = ["Hello, World! it's 42", "a" * 300 + " b" * 3 + " " + "Xy9" * 200, "plain words here", ""]
+    folder = Path(public_tokenizers.path(packing.TOKENIZER)).parent
+    tried = 0
+    for file in sorted(folder.glob("*.json")):
+        try:
+            tok = Tokenizer.from_file(str(file))
+        except Exception:  # noqa: BLE001 - not a tokenizer of this kind
+            continue
+        tried += 1
+        want = [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert packing.encoder(str(file))(texts) == want, file.name
+    assert tried
+    packing.encoder(packing.TOKENIZER)(texts)
+    _, _, parts, words, by_parts = packing.worker_cache()[packing.TOKENIZER]
+    assert by_parts and max(map(len, [*parts, *words])) <= packing.LONG
+    packing.worker_cache().clear()
