@@ -48,6 +48,20 @@ def unstage(df: DataFrame) -> None:
         _remove(entry[0], entry[1].rsplit("/", 1)[0])
 
 
+def staged_since(mark: int) -> list[tuple[SparkSession, str]]:
+    """Tables staged after mark (an earlier len(staged_since(0))) that are still there."""
+    return _STAGED[mark:]
+
+
+def drop_staged(entries: list[tuple[SparkSession, str]], but_for: DataFrame) -> None:
+    """Delete staged tables, but for those that a plan reads."""
+    read = but_for.inputFiles()
+    for entry in entries:
+        if entry in _STAGED and not any(entry[1].split("://")[-1] in f for f in read):
+            _STAGED.remove(entry)
+            _remove(entry[0], entry[1].rsplit("/", 1)[0])
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _STAGED:

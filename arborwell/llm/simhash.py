@@ -11,8 +11,8 @@ Two kinds of fingerprints, both majority bits of hashes of word shingles, comput
   are ranges of that number, and a cell meets itself and the next one.
 
 Distinct fingerprints only are compared; documents that share one are one class. The rows of a cell are cut into home tiles of
-about TILE and its visitors into chunks of four times as many, whatever the size of the table, so a task's rows don't
-grow with it. A tile pair returns a spanning forest of its links, never its pairs.
+about TILE or WIDE_TILE and its visitors into chunks of four times as many, whatever the size of the table, so a task's rows don't
+grow with it; a row's copies do, once its cell holds several tiles. A tile pair returns a spanning forest of its links, never its pairs.
 
 The number of comparisons grows with the square of the number of distinct fingerprints: about a fortieth of all pairs remains
 for near_duplicates(), about a tenth for similar_documents(). A compared pair costs 32 / TILE bytes of shuffle or less.
@@ -40,8 +40,8 @@ from .graph import connected_components, contract
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: Home rows of a tile, about; visitors of a tile are four times as many.
-TILE = 4096
+#: Home rows of a tile, about; visitors of a tile are four times as many. Wide tiles are larger, as their cells are few: fewer copies of a row.
+TILE, WIDE_TILE = 4096, 32_768
 
 
 def _shingles(text: str | None, size: int) -> list[bytes]:
@@ -242,8 +242,8 @@ def link_wide(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sizes = np.zeros(2 + max((r["cell"] for r in rows), default=0), dtype=np.int64)
     for r in rows:
         sizes[r["cell"]] = r["n"]
-    homes = np.maximum(1, -(-sizes // TILE))
-    chunks = np.maximum(1, -(-(sizes + np.append(sizes[1:], 0)) // (4 * TILE)))
+    homes = np.maximum(1, -(-sizes // WIDE_TILE))
+    chunks = np.maximum(1, -(-(sizes + np.append(sizes[1:], 0)) // (4 * WIDE_TILE)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -6,12 +6,33 @@ written as Parquet and read again as the next one's docs. All but the last retur
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborwell.llm import common, mixing, packing, quality, secret_scan, simhash
 
 
+#: What the last stage staged, by folder: the next stage deletes it, once the output has been written.
+_SCRATCH: dict[str, list] = {}
+
+
+def _alone(step):
+    """A stage that first deletes what the one before it staged, unless its docs still read that."""
+
+    @functools.wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.drop_staged(_SCRATCH.pop(sf_dir, []), docs)
+        mark = len(common.staged_since(0))
+        out = step(spark, docs, sf_dir)
+        _SCRATCH[sf_dir] = common.staged_since(mark)
+        return out
+
+    return run_step
+
+
+@_alone
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go.
 
@@ -21,6 +42,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, "doc_id", "text", labels)
 
 
+@_alone
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (shingles of five words, similarity 0.8) stays: the smallest doc_id.
 
@@ -29,6 +51,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs, "doc_id", "text")
 
 
+@_alone
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; n_chars follows. Null texts stay null, with their n_chars; every row stays."""
     clean = secret_scan.redact(docs, "text")
@@ -37,6 +60,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean
 
 
+@_alone
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, each as often as the mix takes it.
 
@@ -45,6 +69,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix(docs, "doc_id", "text", "source")
 
 
+@_alone
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences. Null texts count as empty; repeated rows are documents of their own."""
     return packing.pack(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")

@@ -186,12 +186,12 @@ def test_similar_documents_by_five_words(spark, tile):
     texts += ["", None, "one two", "one  Two", "x " * 3000]
     rows = [(k, t, "clash") for k, t in enumerate(texts)] + [(None, texts[0], "clash"), (4, texts[4], "clash")]
     df = spark.createDataFrame(rows, "doc_id long, text string, component string")
-    old = simhash.TILE
-    simhash.TILE = tile
+    old = simhash.WIDE_TILE
+    simhash.WIDE_TILE = tile
     try:
         got = [(r.id, r.component) for r in simhash.similar_documents(df, "doc_id", "text").collect()]
     finally:
-        simhash.TILE = old
+        simhash.WIDE_TILE = old
     assert len(got) == len(rows)
     of = {i: c for i, c in got if i is not None}
     for i, a in enumerate(texts):
