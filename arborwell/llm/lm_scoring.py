@@ -68,7 +68,7 @@ def segments(df: DataFrame, id_col: str, text: str) -> DataFrame:
             code = np.concatenate(codes) if codes else np.zeros(0, np.int32)
             number = np.bincount(code, minlength=len(place))
             one = lambda values, t: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, t))
-            cols = [one(list(place), pa.binary()), one(number, pa.int64()), one(ids, arrow_id), one(sizes, pa.int64()), pa.array([total], pa.int64()), pa.array([pa.compress(code.tobytes(), codec="zstd", asbytes=True) if total else b""], pa.binary())]
+            cols = [one(list(place), pa.binary()), one(number, pa.int64()), one(ids, arrow_id), one(sizes, pa.int64()), pa.array([total], pa.int64()), pa.array([_packed(code)], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["words", "counts", "ids", "sizes", "total", "code"])
 
         for b in batches:
@@ -90,14 +90,25 @@ def _numbered(seg: DataFrame) -> DataFrame:
     return stage(seg.withColumn("seg", F.monotonically_increasing_id()), "segments")  # written once: its numbers stay
 
 
-def _decode(batch: pa.RecordBatch) -> Iterator[dict]:
-    """Each segment of a batch as numpy, with its column of words still in Arrow."""
-    at = {n: k for k, n in enumerate(batch.schema.names)}
+def _unpacked(cell: pa.Scalar, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(cell.as_py(), decompressed_size=n * size, codec="zstd", asbytes=True) if n else b"", kind)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def _decode(batch: pa.RecordBatch, vocab: dict[bytes, int]) -> Iterator[dict]:
+    """Each segment of a batch in numpy: code, sizes, net (the network's id of each distinct word) and, where it has been looked up, n (its count)."""
     for k in range(batch.num_rows):
-        total = batch.column(at["total"])[k].as_py()
-        raw = pa.decompress(batch.column(at["code"])[k].as_py(), decompressed_size=4 * total, codec="zstd", asbytes=True) if total else b""
-        out = {"code": np.frombuffer(raw, np.int32), "words": batch.column(at["words"])[k].values.to_pylist(), "sizes": np.asarray(batch.column(at["sizes"])[k].values, dtype=np.int64)}
-        yield out | {"ids": batch.column(at["ids"])[k].values, "own": batch.column(at["own"])[k].as_py() if "own" in at else None}
+        cell = {c: batch.column(j)[k] for j, c in enumerate(batch.schema.names)}
+        out = {"code": _unpacked(cell["code"], np.int32, cell["total"].as_py()), "sizes": np.asarray(cell["sizes"].values, dtype=np.int64), "ids": cell["ids"].values}
+        if "words" in cell:
+            yield out | {"net": _ids(cell["words"].values.to_pylist(), vocab)}
+        else:
+            m = cell["distinct"].as_py() or 0
+            yield out | {"net": _unpacked(cell["net"], np.int64, m), "n": _unpacked(cell["n"], np.int64, m)}
 
 
 def counts_of(seg: DataFrame) -> DataFrame:
@@ -259,8 +270,8 @@ def fit_segments(seg: DataFrame, vocab: dict[bytes, int], epochs: int = EPOCHS)
             w, seen = [p.copy() for p in shared], 0
             memory = [np.full_like(p, 1e-3) for p in w]
             for b in batches:
-                for s in _decode(b):
-                    stream, at, own = _stream(_ids(s["words"], vocab).take(s["code"]), s["sizes"])
+                for s in _decode(b, vocab):
+                    stream, at, own = _stream(s["net"].take(s["code"]), s["sizes"])
                     at = at[(own % EARLY == 0) == early]
                     np.random.default_rng(SEED).shuffle(at)
                     lo = 0
@@ -290,18 +301,16 @@ def fit(df: DataFrame, text: str, vocab: dict[bytes, int], every: int = TRAIN_EV
 
 
 def _score(seg: DataFrame, id_kind: str, vocab: dict[bytes, int], weights: list[np.ndarray], base: np.ndarray | None) -> DataFrame:
-    """id, n_words, log_prob, score per row of the segments. base: sums of buckets, for words given by their share (own: logarithms of counts)."""
+    """id, n_words, log_prob, score per row of the segments. base: sums of buckets, for words given by their share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in _decode(b):
-                ids, sizes = _ids(s["words"], vocab), s["sizes"]
+            for s in _decode(b, vocab):
+                ids, sizes = s["net"], s["sizes"]
                 share = np.zeros(len(ids))
                 if base is not None:
                     far = ids >= IDS - BUCKETS
-                    share[far] = -np.log(base)[ids[far] - (IDS - BUCKETS)]
-                    if s["own"]:
-                        share += np.frombuffer(s["own"])
+                    share[far] = np.log(s["n"][far]) - np.log(base)[ids[far] - (IDS - BUCKETS)]
                 stream, at, own = _stream(ids.take(s["code"]), sizes)
                 total = np.bincount(own, weights=share.take(s["code"]), minlength=len(sizes))
                 for lo in range(0, len(at), SLICE):
@@ -324,16 +333,21 @@ def score(df: DataFrame, id_col: str, text: str, vocab: dict[bytes, int], weight
 def score_segments(seg: DataFrame, id_kind: str, counts: DataFrame, vocab: dict[bytes, int], weights: list[np.ndarray]) -> DataFrame:
     """id, n_words, log_prob, score per row of staged segments, where a word of a bucket has its share of it by counts (w, n)."""
     base = bucket_sums(counts, vocab) + 1  # one for all words not counted
-    words = seg.select("seg", F.size("words").alias("size"), F.posexplode("words").alias("pos", "w")).join(_own_words(counts, vocab), "w", "left_anti")
-    known = words.join(counts, "w").select("seg", "size", "pos", F.log("n").alias("own"))
+    own = F.broadcast(counts.sparkSession.createDataFrame([(bytearray(w), k) for w, k in vocab.items()], "w binary, id int"))  # IDS rows at most
+    words = seg.select("seg", F.posexplode("words").alias("pos", "w")).join(own, "w", "left")
+    bucket = (F.crc32("w") % BUCKETS + (IDS - BUCKETS)).cast("int")
+    known = words.where("id IS NULL").join(counts, "w", "left").select("seg", "pos", F.coalesce("n", F.lit(1)).alias("n"), bucket.alias("id"))
+    known = known.unionByName(words.where("id IS NOT NULL").select("seg", "pos", F.lit(1).cast("long").alias("n"), "id"))
+    known = known.select("seg", (F.shiftleft(F.col("id").cast("long"), 32) + F.col("pos")).alias("at"), "n")  # two numbers in one: half the bytes to move
 
     def pack(rows: pa.Table) -> pa.Table:
-        own = np.zeros(rows.column("size")[0].as_py())
-        own[rows.column("pos").to_numpy()] = rows.column("own").to_numpy()
-        return pa.table({"of": rows.column("seg").slice(0, 1), "own": pa.array([own.tobytes()], pa.binary())})
+        at = rows.column("at").to_numpy()
+        order = np.argsort(at & 0xFFFFFFFF)  # every place once
+        net, n = (at >> 32)[order], rows.column("n").to_numpy()[order]
+        return pa.table({"of": rows.column("seg").slice(0, 1), "distinct": [len(at)], "net": pa.array([_packed(net)], pa.binary()), "n": pa.array([_packed(n)], pa.binary())})
 
-    packed = known.groupBy("seg").applyInArrow(pack, "of long, own binary")  # a segment's distinct words: bounded
-    both = seg.join(packed, F.col("seg") == F.col("of"), "left").select("words", "ids", "sizes", "total", "code", "own")
+    found = known.groupBy("seg").applyInArrow(pack, "of long, distinct long, net binary, n binary")  # a segment's distinct words: bounded
+    both = seg.join(found, F.col("seg") == F.col("of"), "left").select("ids", "sizes", "total", "code", "distinct", "net", "n")
     return _score(both, id_kind, vocab, weights, base)
 
 
