@@ -4,8 +4,9 @@ A document's token ids (with the end id) are cut into pieces of SEQUENCE tokens
 lengths, in UNIT tokens rounded up, is the demand of a cutting-stock problem: a linear program over patterns (how many
 pieces of each length share a sequence), whose columns are priced by an unbounded-knapsack dynamic program on
 the duals, until the larger of Farley's bound and the plain filling bound is within GAP. Pattern counts are rounded down; what is left over is packed by best
-fit decreasing on the histogram. Pieces are ranked within their length by hash, and ranks are mapped to the slots of the
-patterns. The histogram and the patterns are bounded by SEQUENCE / UNIT, so the driver's part does not grow with
+fit decreasing on the histogram. Pieces of at most SHORT tokens, which rounding would pad, first fill bundles of BUNDLE tokens by the same program on
+exact lengths; a bundle is then a piece like others. Pieces are ranked within their length by hash, and ranks are mapped to the slots of the
+patterns. The histograms and the patterns are bounded by SHORT and SEQUENCE / UNIT, so the driver's part does not grow with
 the input; pieces are never collected.
 
 Tokenising is by whole text. Texts of ordinary Latin letters are cut at white space and into the parts that the
@@ -33,6 +34,8 @@ from .common import running_offset, stage, worker_cache
 
 SEQUENCE, UNIT, END_ID, TOKENIZER = 4096, 16, 2, "word_bpe_49k.json"
 GAP, ROUNDS, CACHE_WORDS, LONG = 5e-4, 4_000, 1_200_000, 64
+#: Pieces of at most SHORT tokens are first packed by their exact lengths into bundles of BUNDLE tokens.
+SHORT, BUNDLE = 128, 1024
 PROBE = ["It's 42 \xe9t\xe9s, 'TWAS (we'll) don't: x_y--z!!", " A\tb\r\nCD3.14 \xbd \xaa\xba \xb5g... a@b.c #1 ", "The QUICK brown-fox_jumps"]
 #: Characters whose texts may be encoded by parts: no normalisation or case rule looks past one character here.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
@@ -198,28 +201,65 @@ def solve_patterns(demand: dict[int, int], cap: int) -> list[tuple[dict[int, int
     return used + [(seq, 1) for c in sorted(free) for seq in free[c]]
 
 
+class Plan:
+    """Where the rank-th piece of a bin goes. A bin is a number of UNITs (rounded up), or minus the exact length of a piece of at most SHORT tokens.
+
+    Short pieces fill bundles by patterns of exact lengths; a bundle then counts as a piece of its own number of units, ranked after the pieces
+    of that bin, and pieces and bundles fill sequences by patterns of units. All tables have a size that depends on sequence alone.
+    """
+
+    def __init__(self, demand: dict[int, int], sequence: int):
+        units = {b: n for b, n in demand.items() if b > 0}
+        self.bundles = self._slots(bundled := solve_patterns({-b: n for b, n in demand.items() if b < 0}, min(BUNDLE, sequence)))
+        made = []  # of each bundle pattern: its first bundle, their bin, their first rank there
+        first = 0
+        for pattern, n in bundled:
+            bin_ = -(-sum(length * per for length, per in pattern.items()) // UNIT)
+            made.append((first, bin_, units.get(bin_, 0)))
+            units[bin_] = units.get(bin_, 0) + n
+            first += n
+        self.made = np.array(made, dtype=np.int64).reshape(-1, 3)
+        self.sequences = self._slots(solve_patterns(units, sequence // UNIT))
+
+    @staticmethod
+    def _slots(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
+        """Rows (size, first rank, first holder, pieces of this size per holder), by size and rank."""
+        slots, first, seen = [], 0, {}
+        for pattern, n in patterns:
+            for size, per in pattern.items():
+                slots.append((size, seen.get(size, 0), first, per))
+                seen[size] = seen.get(size, 0) + n * per
+            first += n
+        return np.array(sorted(slots), dtype=np.int64).reshape(-1, 4)
+
+    @staticmethod
+    def _holder(slots: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(slots[:, 0] * (1 << 48) + slots[:, 1], size * (1 << 48) + rank, side="right") - 1
+        return slots[k, 2] + (rank - slots[k, 1]) // slots[k, 3]
+
+    def sequence_of(self, bin_: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        bin_, rank = bin_.astype(np.int64), rank.astype(np.int64)
+        short = np.flatnonzero(bin_ < 0)
+        if len(short):
+            bundle = self._holder(self.bundles, -bin_[short], rank[short])
+            k = np.searchsorted(self.made[:, 0], bundle, side="right") - 1
+            bin_[short], rank[short] = self.made[k, 1], self.made[k, 2] + bundle - self.made[k, 0]
+        return self._holder(self.sequences, bin_, rank)
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, sequence: int = SEQUENCE) -> DataFrame:
-    """id, start, length, ids_crc32, doc_tokens, sequence_id, offset per piece."""
-    rows = stage(pieces(df, id_col, text, tokenizer, sequence).withColumn("bin", F.ceil(F.col("length") / UNIT).cast("int")), "pieces")
-    demand = {r["bin"]: r["n"] for r in rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # sequence / UNIT rows at most
-    patterns = solve_patterns(demand, -(-sequence // UNIT))
-    slots, first = [], 0  # (bin, first rank, first sequence, pieces of this bin per sequence)
-    seen = dict.fromkeys(demand, 0)
-    for pattern, n in patterns:
-        for b, per in pattern.items():
-            slots.append((b, seen[b], first, per))
-            seen[b] += n * per
-        first += n
-    slots.sort()
-    s_bin, s_rank, s_first, s_per = (np.array(c, dtype=np.int64) for c in zip(*slots, strict=True)) if slots else (np.zeros(0, dtype=np.int64),) * 4
-    starts = s_bin * (1 << 48) + s_rank
+    """id, start, length, ids_crc32, doc_tokens, sequence_id, offset per piece. sequence: a multiple of UNIT."""
+    if sequence < UNIT or sequence % UNIT:
+        raise ValueError(f"sequence must be a multiple of {UNIT}")
+    bin_ = F.when(F.col("length") <= min(SHORT, sequence), -F.col("length")).otherwise(F.ceil(F.col("length") / UNIT)).cast("int")
+    rows = stage(pieces(df, id_col, text, tokenizer, sequence).withColumn("bin", bin_), "pieces")
+    # SHORT + sequence / UNIT rows at most
+    plan = Plan({r["bin"]: r["n"] for r in rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}, sequence)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rank, bin_ = b.column(b.schema.get_field_index("rank")).to_numpy(), b.column(b.schema.get_field_index("bin")).to_numpy().astype(np.int64)
-            k = np.searchsorted(starts, bin_ * (1 << 48) + rank, side="right") - 1
-            seq = s_first[k] + (rank - s_rank[k]) // s_per[k]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq)], names=[*b.schema.names, "sequence_id"])
+            column = {c: b.column(b.schema.get_field_index(c)).to_numpy() for c in ("rank", "bin")}
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(plan.sequence_of(column["bin"], column["rank"]))], names=[*b.schema.names, "sequence_id"])
 
     ranked = running_offset(rows, ["bin"], ["h", "id", "start"], F.lit(1), "rank")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema) + ", sequence_id long"

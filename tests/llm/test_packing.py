@@ -80,3 +80,33 @@ def test_other_tokenizers_and_long_words_give_the_tokenizers_own_ids():
     _, _, parts, words, by_parts = packing.worker_cache()[packing.TOKENIZER]
     assert by_parts and max(map(len, [*parts, *words])) <= packing.LONG
     packing.worker_cache().clear()
+
+
+def filled(demand, sequence=packing.SEQUENCE):
+    """Tokens of each sequence of a plan for {length: pieces}."""
+    bins, left = {}, {}
+    for length, n in demand.items():
+        bins.setdefault(-length if length <= packing.SHORT else -(-length // packing.UNIT), []).extend([length] * n)
+    plan = packing.Plan({b: len(x) for b, x in bins.items()}, sequence)
+    for b, lengths in bins.items():
+        for seq, length in zip(plan.sequence_of(np.full(len(lengths), b), np.arange(len(lengths))).tolist(), lengths, strict=True):
+            left[seq] = left.get(seq, 0) + length
+    assert max(left.values(), default=0) <= sequence
+    return left
+
+
+def test_short_pieces_leave_little_padding():
+    for demand in ({1: 50_000}, {17: 20_000}, {k: 900 for k in range(2, 61)}, {100: 9_000}, {k: 300 for k in range(1, 257)}, {5: 30_000, 1000: 900, 4096: 7}):
+        got = filled(demand)
+        tokens = sum(k * n for k, n in demand.items())
+        assert len(got) * packing.SEQUENCE <= 1.04 * tokens + 2 * packing.SEQUENCE
+    assert filled({}) == {}
+    assert len(filled({1: 1})) == 1
+    assert sum(filled({3: 5, 64: 2, 63: 4}, 64).values()) == 15 + 128 + 252
+
+
+def test_a_sequence_that_is_no_multiple_of_a_unit_is_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="multiple"):
+        packing.pack(spark.createDataFrame([(1, "a")], "doc_id long, text string"), sequence=100)
