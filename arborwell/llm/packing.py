@@ -178,7 +178,9 @@ def solve_patterns(demand: dict[int, int], cap: int) -> list[tuple[dict[int, int
         inverse -= np.outer(d, row)
         inverse[r] = row
         if step % 200 == 199:
-            inverse = np.linalg.inv(columns)
+            # a product first: after a fork, BLAS starts its threads again in products, but LAPACK waits for them forever
+            off = np.eye(m) - columns @ inverse
+            inverse = inverse + inverse @ off if np.abs(off).sum(axis=1).max() < 0.5 else np.linalg.inv(columns)
             x = np.maximum(inverse @ need, 0)
     used, left = [], np.array([demand[k] for k in size.tolist()], dtype=np.int64)
     whole = np.floor(x + 1e-9).astype(np.int64)

@@ -110,3 +110,18 @@ def test_a_sequence_that_is_no_multiple_of_a_unit_is_refused(spark):
 
     with pytest.raises(ValueError, match="multiple"):
         packing.pack(spark.createDataFrame([(1, "a")], "doc_id long, text string"), sequence=100)
+
+
+def test_the_linear_program_ends_in_a_process_that_has_forked():
+    """Starting Spark forks; a long program then refreshes its inverse."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        "import subprocess, numpy as np; from arborwell.llm import packing; subprocess.run(['true'], preexec_fn=lambda: None);"
+        "rng = np.random.default_rng(1); need = {k: int(n) for k, n in enumerate(rng.integers(1, 60, 256), 1)};"
+        "calls = []; price = packing._price; packing._price = lambda *a: calls.append(1) or price(*a); used = packing.solve_patterns(need, 256);"
+        "got = {k: sum(p.get(k, 0) * n for p, n in used) for k in need}; assert got == need and len(calls) > 200, len(calls)"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60, cwd=Path(packing.__file__).parents[2])
