@@ -10,8 +10,9 @@ patterns. The histograms and the patterns are bounded by SHORT and SEQUENCE / UN
 the input; pieces are never collected.
 
 Tokenising is by whole text. Texts of ordinary Latin letters are cut at white space and into the parts that the
-tokenizer never joins; each distinct part is encoded once per Python worker (words of over LONG characters are not kept). Any other text, and
-every text under a tokenizer that does not cut PROBE so, is encoded as it stands.
+tokenizer never joins. A Python worker keeps the ids of words and parts (not of over LONG characters) in two dicts of CACHE_WORDS / 2 at most: a
+full one becomes the old one, from which words that return come back, so what is kept does not grow with the input; the stage that places pieces
+frees it. Any other text, and every text under a tokenizer that does not cut PROBE so, is encoded as it stands.
 
 Null text counts as empty: one piece with the end id. Null ids pass through; repeated rows are documents of their own.
 Extra columns are ignored; an empty table gives no rows.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import running_offset, stage, worker_cache
 
 SEQUENCE, UNIT, END_ID, TOKENIZER = 4096, 16, 2, "word_bpe_49k.json"
-GAP, ROUNDS, CACHE_WORDS, LONG = 5e-4, 4_000, 1_200_000, 64
+GAP, ROUNDS, CACHE_WORDS, LONG = 5e-4, 4_000, 800_000, 64
+#: Texts are encoded so many rows, or about so many bytes, at a time.
+ROWS, BYTES = 64, 1 << 20
 #: Pieces of at most SHORT tokens are first packed by their exact lengths into bundles of BUNDLE tokens.
 SHORT, BUNDLE = 128, 1024
 PROBE = ["It's 42 \xe9t\xe9s, 'TWAS (we'll) don't: x_y--z!!", " A\tb\r\nCD3.14 \xbd \xaa\xba \xb5g... a@b.c #1 ", "The QUICK brown-fox_jumps"]
@@ -49,7 +53,7 @@ def encoder(path: str):
     import os
 
     import public_tokenizers
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     cache = worker_cache()
@@ -59,39 +63,48 @@ def encoder(path: str):
         last[[i for w, i in tok.get_vocab().items() if w.endswith("</w>")]] = True
         ids_of = lambda t: tok.encode(t, add_special_tokens=False).ids
         by_parts = all(ids_of(t) == [i for w in t.split() for part in _PRETOKEN.findall(w.lower()) for i in ids_of(part)] for t in PROBE)
-        cache[path] = (tok, last, {}, {}, by_parts)
-    tok, last, parts, words, by_parts = cache[path]
+        # parts need no normalising nor cutting but at the spaces between them, which takes a third of the time
+        plain = Tokenizer(tok.model)
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        listed = sorted({part for t in PROBE for part in _PRETOKEN.findall(t.lower())})
+        if not by_parts or plain.encode(" ".join(listed), add_special_tokens=False).ids != [i for part in listed for i in ids_of(part)]:
+            plain = tok
+        cache[path] = ((tok, plain), last, {}, {}, by_parts)
+    (tok, plain), last, old, words, by_parts = cache[path]
 
     def ids(encodings) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in encodings]
 
-    def learn(new: list[str]) -> None:
+    def learn(new: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of parts, many in one call: white space keeps them apart, and the last id of each ends a part."""
-        flat = np.array(tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+        flat = np.array(plain.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(last[flat]) + 1
         if len(ends) == len(new) and ends[-1] == len(flat):
             raw, at = flat.tobytes(), (4 * ends).tolist()
-            parts.update(zip(new, (raw[lo:hi] for lo, hi in zip([0, *at], at, strict=False)), strict=True))
-        else:
-            parts.update(zip(new, ids(tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            return zip(new, (raw[lo:hi] for lo, hi in zip([0, *at], at, strict=False)), strict=True)
+        return zip(new, ids(tok.encode_batch_fast(new, add_special_tokens=False)), strict=True)
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [t.split() if by_parts and _PLAIN.fullmatch(t) and "<|" not in t else [] for t in texts]
         found = [list(map(words.get, s)) for s in split]
         gaps = [[k for k, v in enumerate(f) if v is None] for f in found]
         new = {s[k] for s, gap in zip(split, gaps, strict=True) for k in gap}
-        if len(words) + len(new) > CACHE_WORDS or len(parts) > CACHE_WORDS:
-            words.clear(), parts.clear()
-        cut = {w: _PRETOKEN.findall(w.lower()) for w in new}
-        unknown = list({p for ps in cut.values() for p in ps if p not in parts})
+        fresh = {w: old[w] for w in new if w in old}
+        # a part is a word whose only part is itself, so one dict holds both
+        cut = {w: (w.lower(),) if w.isalpha() else _PRETOKEN.findall(w.lower()) for w in new if w not in fresh}
+        part = {p: words.get(p) or old.get(p) for p in {p for ps in cut.values() for p in ps}}
+        unknown = [p for p, raw in part.items() if raw is None]
         for at in range(0, len(unknown), 20_000):
-            learn(unknown[at : at + 20_000])
-        part = parts.__getitem__
-        fresh = {w: b"".join(map(part, ps)) for w, ps in cut.items()}
-        words.update((w, raw) for w, raw in fresh.items() if len(w) <= LONG)
-        for p in unknown:
-            if len(p) > LONG:
-                del parts[p]
+            part.update(learn(unknown[at : at + 20_000]))
+        fresh.update([(w, b"".join([part[p] for p in ps])) for w, ps in cut.items() if w not in part])
+        fresh.update(part)
+        if len(words) + len(fresh) > CACHE_WORDS // 2:
+            old.clear()
+            old.update(words)
+            words.clear()
+        words.update(fresh)
+        for w in [w for w in fresh if len(w) > LONG]:
+            del words[w]
         for s, f, gap in zip(split, found, gaps, strict=True):
             for k in gap:
                 f[k] = fresh[s[k]]
@@ -100,6 +113,15 @@ def encoder(path: str):
     return encode
 
 
+def forget_words() -> None:
+    """Free the words that encoders kept in this Python worker (tokenizers stay): what follows needs the memory for its shuffles."""
+    kept = [d for c in worker_cache().values() if isinstance(c, tuple) for d in c if isinstance(d, dict) and d]
+    for d in kept:
+        d.clear()
+    if kept:
+        pa.default_memory_pool().release_unused()
+
+
 def pieces(df: DataFrame, id_col: str, text: str, tokenizer: str = TOKENIZER, sequence: int = SEQUENCE) -> DataFrame:
     """id, start, length, ids_crc32, doc_tokens, h (an even hash) per piece."""
     end = np.array([END_ID], dtype="<u4").tobytes()
@@ -107,8 +129,11 @@ def pieces(df: DataFrame, id_col: str, text: str, tokenizer: str = TOKENIZER, se
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy()) if b.num_rows else np.zeros(0)
+            row = np.arange(b.num_rows)
+            starts = np.flatnonzero((row % ROWS == 0) | (np.diff(size // BYTES, prepend=0) > 0)).tolist()
+            for lo, hi in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                part = b.slice(lo, hi - lo)
                 keys, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
                 at, rows = [], []
                 for k, (t, raw) in enumerate(zip(texts, encode(texts), strict=True)):
@@ -249,6 +274,16 @@ class Plan:
         return self._holder(self.sequences, bin_, rank)
 
 
+def _assign(plan: Plan):
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
+        for b in batches:
+            column = {c: b.column(b.schema.get_field_index(c)).to_numpy() for c in ("rank", "bin")}
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(plan.sequence_of(column["bin"], column["rank"]))], names=[*b.schema.names, "sequence_id"])
+
+    return assign
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, sequence: int = SEQUENCE) -> DataFrame:
     """id, start, length, ids_crc32, doc_tokens, sequence_id, offset per piece. sequence: a multiple of UNIT."""
     if sequence < UNIT or sequence % UNIT:
@@ -258,14 +293,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: s
     # SHORT + sequence / UNIT rows at most
     plan = Plan({r["bin"]: r["n"] for r in rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}, sequence)
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            column = {c: b.column(b.schema.get_field_index(c)).to_numpy() for c in ("rank", "bin")}
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(plan.sequence_of(column["bin"], column["rank"]))], names=[*b.schema.names, "sequence_id"])
-
     ranked = running_offset(rows, ["bin"], ["h", "id", "start"], F.lit(1), "rank")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema) + ", sequence_id long"
-    placed = ranked.mapInArrow(assign, schema)
+    placed = ranked.mapInArrow(_assign(plan), schema)
     before = Window.partitionBy("sequence_id").orderBy(F.desc("bin"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")
     return placed.select("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"))

@@ -125,3 +125,60 @@ def test_the_linear_program_ends_in_a_process_that_has_forked():
         "got = {k: sum(p.get(k, 0) * n for p, n in used) for k in need}; assert got == need and len(calls) > 200, len(calls)"
     )
     subprocess.run([sys.executable, "-c", code], check=True, timeout=60, cwd=Path(packing.__file__).parents[2])
+
+
+def kept_words():
+    _, _, parts, words, _ = packing.worker_cache()[packing.TOKENIZER]
+    return parts, words
+
+
+def test_what_a_worker_keeps_is_bounded_and_words_in_use_stay(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 400)
+    packing.worker_cache().clear()
+    encode = packing.encoder(packing.TOKENIZER)
+    syllables = [a + b for a in "bdfgklmn" for b in "aeiou"]
+    texts = ["Always, " + " ".join(f"{syllables[k % 40]}{syllables[k // 40 % 40]}{syllables[(k + n) % 40]}." for k in range(n, n + 30)) for n in range(0, 1_500, 30)]
+    got, most = [], 0
+    for n, t in enumerate(texts):
+        got += encode([t])
+        parts, words = kept_words()
+        most = max(most, len(parts) + len(words))
+        assert any("Always," in d for d in (parts, words)), n
+    assert 200 < most <= 400 + 64
+    packing.worker_cache().clear()
+    monkeypatch.undo()
+    assert packing.encoder(packing.TOKENIZER)(texts) == got
+    packing.worker_cache().clear()
+
+
+def test_placing_pieces_frees_the_words():
+    import pyarrow as pa
+
+    packing.worker_cache().clear()
+    packing.encoder(packing.TOKENIZER)(["some words, and more"])
+    assert any(kept_words())
+    batch = pa.RecordBatch.from_pydict({"bin": [3, 3], "rank": [0, 1]})
+    assert [b.column(2).to_pylist() for b in packing._assign(packing.Plan({3: 2}, packing.SEQUENCE))(iter([batch]))] == [[0, 0]]
+    assert not any(kept_words())
+    assert len(packing.encoder(packing.TOKENIZER)(["some words, and more"])[0]) == 20
+    packing.worker_cache().clear()
+
+
+def test_many_long_texts_are_encoded_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    sizes = []
+
+    def encoder(path):
+        return lambda texts: sizes.append(sum(map(len, texts))) or [b"\x05\0\0\0" * len(t) for t in texts]
+
+    monkeypatch.setattr(packing, "encoder", encoder)
+    cuts = []
+    df = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: cuts.append(f) or self)
+    packing.pieces(df, "doc_id", "text")
+    texts = ["x" * n for n in (packing.BYTES // 4,) * 12] + [None, "", "y" * 3 * packing.BYTES, "z"]
+    out = pa.Table.from_batches(cuts[0](iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])])))
+    assert max(sizes) <= 4 * packing.BYTES and max(n for n in sizes if n < 3 * packing.BYTES) <= 1.25 * packing.BYTES
+    assert sum(out.column("length").to_pylist()) == sum(len(t or "") + 1 for t in texts)
+    assert sorted(set(out.column("id").to_pylist())) == list(range(len(texts)))
