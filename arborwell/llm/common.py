@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 _STAGED: list[tuple[SparkSession, str]] = []
 #: Elements per block of a scan inside an array: appending to an array copies it, so blocks keep a scan linear.
 SCAN_BLOCK = 256
+#: Files of a staged table with a row per thousand rows.
+FILES = 8
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -139,28 +141,30 @@ def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def running_offset(df: DataFrame, group: list[str], order: list[str], weight: Column, out: str, rows_per_bucket: int = 1024) -> DataFrame:
+def running_offset(df: DataFrame, group: list[str], order: list[str], weight: Column, out: str, rows_per_bucket: int = 1024, group_rows: Column | None = None) -> DataFrame:
     """Add the sum of weight over all earlier rows of the same group, in the order of the columns order.
 
     order[0] must be an evenly spread long (a hash). A group is cut into buckets by ranges of that hash, about
     rows_per_bucket rows each, so a group with a third of all rows is still many small window partitions;
     the offsets of buckets come from a table with one row per bucket. Equal rows may take each other's place.
-    Nulls form a group. df is read three times: stage it first.
+    Nulls form a group. df is read three times (twice where group_rows, the size of its group, is given): stage it first.
     """
     key = F.struct(*[F.col(c) for c in group])
-    w = weight.cast("long")
-    counts = df.groupBy(key.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = small(stage(counts.select(F.col("_g").alias("_cg"), F.greatest(F.ceil(F.col("_n") / rows_per_bucket), F.lit(1)).alias("_nb")), "counts"))
+    keyed = df.withColumns({"_g": key, "_w": weight.cast("long")})
+    n_buckets = lambda n: F.greatest(F.ceil(n / rows_per_bucket), F.lit(1))
+    if group_rows is None:
+        counts = df.groupBy(key.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+        counts = small(stage(counts.select(F.col("_g").alias("_cg"), n_buckets(F.col("_n")).alias("_nb")), "counts"))
+        keyed = keyed.join(counts, F.col("_g").eqNullSafe(F.col("_cg"))).drop("_cg")
+    else:
+        keyed = keyed.withColumn("_nb", n_buckets(group_rows))
     bucket = F.floor((F.shiftrightunsigned(F.col(order[0]), 1) / F.lit(float(2**63))) * F.col("_nb"))
-    rows = (
-        df.withColumns({"_g": key, "_w": w})
-        .join(counts, F.col("_g").eqNullSafe(F.col("_cg")))
-        .withColumn("_b", F.least(bucket, F.col("_nb") - 1).cast("long"))
-        .drop("_cg", "_nb")
-    )
+    rows = keyed.withColumn("_b", F.least(bucket, F.col("_nb") - 1).cast("long")).drop("_nb")
     sums = rows.groupBy("_g", "_b").agg(F.sum("_w").alias("_s"))
     before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = small(stage(sums.select(F.col("_g").alias("_cg"), F.col("_b").alias("_cb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base")), "bases"))
+    # a row per bucket: few files, since Hadoop starts processes for each that is written
+    sums = sums.select(F.col("_g").alias("_cg"), F.col("_b").alias("_cb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base")).coalesce(FILES)
+    sums = small(stage(sums, "bases"))
     inside = Window.partitionBy("_g", "_b").orderBy(*[F.shiftrightunsigned(F.col(order[0]), 1), *order]).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
     return (

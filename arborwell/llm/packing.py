@@ -38,6 +38,8 @@ SEQUENCE, UNIT, END_ID, TOKENIZER = 4096, 16, 2, "word_bpe_49k.json"
 GAP, ROUNDS, CACHE_WORDS, LONG = 5e-4, 4_000, 800_000, 64
 #: Texts are encoded so many rows, or about so many bytes, at a time.
 ROWS, BYTES = 64, 1 << 20
+#: Pieces a partition of the result holds at least, about: Hadoop starts processes for each file that is written.
+FILE_ROWS = 8192
 #: Pieces of at most SHORT tokens are first packed by their exact lengths into bundles of BUNDLE tokens.
 SHORT, BUNDLE = 128, 1024
 PROBE = ["It's 42 \xe9t\xe9s, 'TWAS (we'll) don't: x_y--z!!", " A\tb\r\nCD3.14 \xbd \xaa\xba \xb5g... a@b.c #1 ", "The QUICK brown-fox_jumps"]
@@ -291,14 +293,18 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: s
     bin_ = F.when(F.col("length") <= min(SHORT, sequence), -F.col("length")).otherwise(F.ceil(F.col("length") / UNIT)).cast("int")
     rows = stage(pieces(df, id_col, text, tokenizer, sequence).withColumn("bin", bin_), "pieces")
     # SHORT + sequence / UNIT rows at most
-    plan = Plan({r["bin"]: r["n"] for r in rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}, sequence)
+    demand = {r["bin"]: r["n"] for r in rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan = Plan(demand, sequence)
+    low = min(demand, default=0)
+    in_bin = F.get(F.lit([demand.get(b, 0) for b in range(low, max(demand, default=0) + 1)]).cast("array<long>"), F.col("bin") - low)
 
-    ranked = running_offset(rows, ["bin"], ["h", "id", "start"], F.lit(1), "rank")
+    ranked = running_offset(rows, ["bin"], ["h", "id", "start"], F.lit(1), "rank", group_rows=in_bin)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema) + ", sequence_id long"
     placed = ranked.mapInArrow(_assign(plan), schema)
     before = Window.partitionBy("sequence_id").orderBy(F.desc("bin"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")
-    return placed.select("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"))
+    out = placed.select("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"))
+    return out.coalesce(max(1, sum(demand.values()) // FILE_ROWS))
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

@@ -182,3 +182,31 @@ def test_many_long_texts_are_encoded_a_few_at_a_time(spark, monkeypatch):
     assert max(sizes) <= 4 * packing.BYTES and max(n for n in sizes if n < 3 * packing.BYTES) <= 1.25 * packing.BYTES
     assert sum(out.column("length").to_pylist()) == sum(len(t or "") + 1 for t in texts)
     assert sorted(set(out.column("id").to_pylist())) == list(range(len(texts)))
+
+
+def test_small_results_are_few_partitions_and_ranks_need_no_table_of_counts(spark, sf, tmp_path):
+    root = packing.stage.__globals__["stage_root"](spark)
+    from pathlib import Path
+
+    seen = lambda: {str(p) for p in Path(root.split("://")[-1].removeprefix("file:")).glob("arborwell-*/*")}
+    before = seen()
+    aqe, parts = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        out = packing.op4_packing(spark, sf(documents=spark.range(300).selectExpr("id doc_id", "repeat('a b c ', cast(id % 70 as int)) text")))
+        staged = seen() - before
+        assert sorted(p.rsplit("/", 1)[1] for p in staged) == ["bases", "pieces"]
+        assert all(len(list(Path(p).glob("*.parquet"))) <= 8 for p in staged if p.endswith("bases"))
+        assert out.rdd.getNumPartitions() == 1
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(rows) == 300
+    for pieces in by.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(pieces)]).tolist()]
+        assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= packing.SEQUENCE
